@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import shared_dir
@@ -38,9 +39,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
     found = jaccard_components(docs, k=SHINGLE_WORDS, percent=PERCENT)
-    # one row an id: rows that share an id share its component
     drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    # rows that share an id are one group: the first by text stays
+    shared = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    stay = docs.join(drop, "doc_id", "left_anti")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    one = stay.join(shared, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1")
+    return stay.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
