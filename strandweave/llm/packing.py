@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.textkit import chunks
 from strandweave.llm.tokenization import CachedEncoder
 
 SCHEMA = (
@@ -59,12 +60,12 @@ def pack_powers_of_two(
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in chunks(batch, "text"):
                 rows: list[tuple] = []
                 ids: list[np.ndarray] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = encoder.encode([text or ""])[0] + end
+                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, data in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    data += end
                     total, start = len(data) // 4, 0
                     for length in piece_lengths(total, max_length):
                         piece = data[4 * start : 4 * (start + length)]

@@ -13,7 +13,6 @@ must not occur in documents and is not counted.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import cut, shared_dir
+from strandweave.llm.textkit import chunks
 from strandweave.llm.tokenization import CachedEncoder
 
 #: Bytes of a block: the unit of reading and of stitching.
@@ -46,15 +46,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         encoder, task = CachedEncoder(tokenizer_path, width=2), TaskContext.get()
         name = f"tokens-{task.partitionId():06d}.bin"
-        part = f"{root}/_{name}.{uuid.uuid4().hex}"
+        draft = f"{root}/_{name}.{uuid.uuid4().hex}"
         end, size, ordinal = np.array([end_id], dtype="<u2").tobytes(), 0, 0
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(part) as sink:
+        with store.open_output_stream(draft) as sink:
             for batch in batches:
-                for text in batch.column(1):
-                    data = encoder.encode([text.as_py() or ""])[0] + end
-                    sink.write(data)
-                    size += len(data)
+                for part in chunks(batch, "text"):
+                    for data in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
+                        sink.write(data + end)
+                        size += len(data) + len(end)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * batch.num_rows), pa.array(range(ordinal, ordinal + batch.num_rows), pa.int64()), batch.column(0)],
                     names=["file", "ordinal", "doc_id"],
@@ -63,15 +63,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             if size % block_bytes:
                 sink.write(np.full((block_bytes - size % block_bytes) // 2, pad_id, dtype="<u2").tobytes())
         if size:
-            store.move(part, f"{root}/{name}")
+            store.move(draft, f"{root}/{name}")
         else:
-            store.delete_file(part)
+            store.delete_file(draft)
 
     return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "file string, ordinal long, doc_id long"))
 
 
 def _blocks(spark: SparkSession, folder: str, block_bytes: int) -> DataFrame:
-    """(file, block, data): the fixed-length blocks of every ``*.bin`` file, by place in the file."""
+    """(file, block) of the fixed-length blocks of every ``*.bin`` file."""
     jvm, url = spark.sparkContext._jvm, folder if "://" in folder else f"file://{folder}"
     path = jvm.org.apache.hadoop.fs.Path(url)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -139,6 +139,11 @@ def scan_token_files(spark: SparkSession, folder: str, end_id: int = END_ID, pad
 def count_document_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Writes ``docs`` as flat token files and counts each document's tokens by scanning them."""
     spark = docs.sparkSession
-    folder = folder or os.path.join(shared_dir(spark), f"token-files-{uuid.uuid4().hex}")
+    own = folder is None
+    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     places = write_token_files(docs, folder, tokenizer_path)
-    return places.join(scan_token_files(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    counted = places.join(scan_token_files(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    if own:  # the scan's blocks are checkpointed: the files have been read for good
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return counted

@@ -18,8 +18,9 @@ import numpy as np
 #: Fixed value: the byte-level pre-tokeniser's pattern of the public vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 _UNSAFE = re.compile(r"^ | $| \s|\s ")
+_RARE_SPACE = re.compile(r"[^\S \n]")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -30,6 +31,13 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _unsafe(text: str) -> bool:
+    """Whether some blank begins or ends the text or has white space beside it."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return bool(_RARE_SPACE.search(text)) and bool(_UNSAFE.search(text))
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -52,12 +60,10 @@ class CachedEncoder:
         self._bytes[list(ranks.values())] = [len(t) for t in ranks]
         self._type = np.dtype("<u4" if width == 4 else "<u2")
         self._width, self._limit = width, cache_pieces
-        self._cache: dict[str, bytes] = {}
+        self._cache: dict[str, bytes] = {"": b""}
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces (each but a text's first begins with a blank) as one text and cuts it back."""
-        if len(self._cache) + len(pieces) > self._limit:
-            self._cache.clear()
         ids = np.array(self._encoding.encode_ordinary(" ".join(pieces)), dtype=np.int64)
         ends = np.cumsum(self._bytes[ids])
         sizes = np.array([len(p.encode("utf-8")) for p in pieces], dtype=np.int64)
@@ -73,18 +79,28 @@ class CachedEncoder:
         return np.array(self._encoding.encode_ordinary(text), dtype=self._type).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        split: list[list[str] | None] = []
+        seen: set[str] = set()
         for text in texts:
-            if _UNSAFE.search(text):
-                # blanks that the cut cannot use: encode each stretch between safe cuts as it stands
-                out.append(b"".join(self._plain(part) for part in _SAFE_CUT.split(text)) if len(text) > 100_000 else self._plain(text))
+            if _unsafe(text):
+                split.append(None)
                 continue
-            head, *rest = text.split(" ")
-            cache = self._cache
-            if missing := set(rest).difference(cache):
-                if len(cache) + len(missing) > self._limit:
-                    missing = set(rest)
-                self._learn(["", *missing])
-            tail = b"".join(map(cache.__getitem__, rest))
-            out.append(self._plain(head) + tail)
+            pieces = text.split(" ")
+            split.append(pieces)
+            seen.update(pieces[1:])
+        cache = self._cache
+        if missing := seen.difference(cache):
+            if len(cache) + len(missing) > self._limit:
+                cache.clear()
+                missing = seen
+            self._learn(["", *missing])
+        out = []
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is None:
+                # blanks beside other white space: encode the stretches between safe cuts as they stand
+                out.append(b"".join(map(self._plain, _SAFE_CUT.split(text) if len(text) > 100_000 else [text])))
+            else:
+                head = self._plain(pieces[0])
+                pieces[0] = ""
+                out.append(head + b"".join(map(cache.__getitem__, pieces)))
         return out
