@@ -29,26 +29,26 @@ def sample_warnings(valid: DataFrame, gts: DataFrame) -> DataFrame:
 
 
 def gaps(applied: DataFrame, ref_contigs: DataFrame) -> DataFrame:
-    """(contig, ord, gap_start, gap_end): reference before each applied record and after the last.
+    """(contig, ord, gap_start, gap_end, tail): reference before each applied record and after the last.
 
     The tail's ``ord`` is null-free: one more than the greatest rec_ord.
     """
     order = W.partitionBy("contig").orderBy("start")
-    before = applied.select("contig", F.col("rec_ord").alias("ord"), F.coalesce(F.lag("end").over(order), F.lit(0)).cast("long").alias("gap_start"), F.col("start").alias("gap_end"))
+    before = applied.select("contig", F.col("rec_ord").alias("ord"), F.coalesce(F.lag("end").over(order), F.lit(0)).cast("long").alias("gap_start"), F.col("start").alias("gap_end"), F.lit(False).alias("tail"))
     tail = applied.groupBy("contig").agg(F.max("end").alias("gap_start"), F.max("rec_ord").alias("top"))
-    last = ref_contigs.join(tail, "contig", "left").select("contig", (F.coalesce("top", F.lit(0)) + 1).alias("ord"), F.coalesce("gap_start", F.lit(0)).cast("long").alias("gap_start"), F.col("length").alias("gap_end"))
+    last = ref_contigs.join(tail, "contig", "left").select("contig", (F.coalesce("top", F.lit(0)) + 1).alias("ord"), F.coalesce("gap_start", F.lit(0)).cast("long").alias("gap_start"), F.col("length").alias("gap_end"), F.lit(True).alias("tail"))
     return before.unionByName(last)
 
 
 def reference_slices(spans: DataFrame, ref_tiles: DataFrame, tile_size: int, start: str, end: str, out: str) -> DataFrame:
     """Adds reference bases of [start, end): each tile touched gives its part, parts are joined in order."""
-    key = [c for c in spans.columns if c != out]
-    touched = spans.withColumn("tile_id", F.explode(F.when(F.col(end) > F.col(start), F.expr(f"sequence({start} div {tile_size}, (`{end}` - 1) div {tile_size})")).otherwise(F.array().cast("array<bigint>"))))
+    key = spans.columns
+    touched = spans.withColumn("tile_id", F.explode_outer(F.when(F.col(end) > F.col(start), F.expr(f"sequence({start} div {tile_size}, (`{end}` - 1) div {tile_size})"))))
     lo = F.greatest(F.col(start) - F.col("tile_id") * tile_size, F.lit(0))
     hi = F.least(F.col(end) - F.col("tile_id") * tile_size, F.lit(tile_size))
-    parts = touched.join(ref_tiles.select("contig", "tile_id", "seq"), ["contig", "tile_id"]).withColumn("part", F.col("seq").substr((lo + 1).cast("int"), (hi - lo).cast("int")))
-    text = parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile_id", "part"))), lambda p: p["part"]), "").alias(out))
-    return spans.join(text, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    parts = touched.join(ref_tiles.select("contig", "tile_id", "seq"), ["contig", "tile_id"], "left").withColumn("part", F.col("seq").substr((lo + 1).cast("int"), (hi - lo).cast("int")))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("tile_id", "part"))))
+    return parts.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias(out))
 
 
 def emitted(code: Column, allele: Column, base: Column, no_call: str) -> Column:
@@ -57,9 +57,11 @@ def emitted(code: Column, allele: Column, base: Column, no_call: str) -> Column:
 
 def segments(applied: DataFrame, called: DataFrame, ploidies: DataFrame, ref_tiles: DataFrame, ref_contigs: DataFrame, tile_size: int, no_call: str = "N") -> DataFrame:
     """(contig, sample_idx, sample, hap, ord, gap, text): what each haplotype writes, record by record, then the tail."""
-    ref = reference_slices(gaps(applied, ref_contigs), ref_tiles, tile_size, "gap_start", "gap_end", "gap")
-    first = reference_slices(applied.select("contig", "rec_ord", "start", (F.col("start") + 1).alias("next")), ref_tiles, tile_size, "start", "next", "base")
-    bases = ref.join(first.select("contig", F.col("rec_ord").alias("ord"), "base"), ["contig", "ord"], "left")
+    # a record's gap is read with the base after it, which a reference call writes
+    spans = gaps(applied, ref_contigs).withColumn("upto", F.col("gap_end") + F.when(F.col("tail"), 0).otherwise(1))
+    read = reference_slices(spans, ref_tiles, tile_size, "gap_start", "upto", "read")
+    width = (F.col("gap_end") - F.col("gap_start")).cast("int")
+    bases = read.select("contig", "ord", F.col("read").substr(F.lit(1), width).alias("gap"), F.col("read").substr(width + 1, F.lit(1)).alias("base"))
     texts = called.select("contig", F.col("rec_ord").alias("ord"), "sample_idx", "hap", "code", "allele")
     haps = ploidies.select("contig", "sample_idx", "sample", F.explode(F.sequence(F.lit(0), F.col("max_ploidy") - 1)).alias("hap"))
     out = bases.join(haps, "contig").join(texts, ["contig", "ord", "sample_idx", "hap"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,11 @@ class Reconstruction:
     stats: DataFrame
     contigs: DataFrame
 
+    def release(self) -> None:
+        """Lets go of the kept frames."""
+        self.checked.unpersist()
+        self.chosen.unpersist()
+
     @property
     def sequences(self) -> DataFrame:
         return emit.assemble(self.segments)
@@ -57,10 +63,11 @@ def reconstruct(genome: Genome, no_call: str = "N", validate_ref: bool = True, p
     single = genome.samples.count() == 1 if single_sample is None else single_sample
     records = genome.records if "malformed" in genome.records.columns else genome.records.withColumn("malformed", F.when((F.col("ref") == ".") | (F.col("ref") == ""), "malformed_record"))
     contigs = genome.ref_contigs
-    rows = checked(records, genome.ref_tiles, contigs, genome.tile_size, validate_ref)
+    # frames that several steps read: kept by executors, on disk beyond memory, and computed again if one is lost
+    rows = checked(records, genome.ref_tiles, contigs, genome.tile_size, validate_ref).persist(StorageLevel.MEMORY_AND_DISK)
     valid = rows.where("reason is null")
-    chosen = select_nonoverlapping(valid)
-    parsable = records.where("malformed is null")
+    chosen = select_nonoverlapping(valid.select("contig", "rec_ord", "pos", "ref", "alt", "start", "end", "alleles")).persist(StorageLevel.MEMORY_AND_DISK)
+    parsable = rows.where("malformed is null").select("contig", "rec_ord", "pos", "ref", "alt", "format", "samples")
     gts = ploidy.genotypes(parsable, genome.samples)
     ploidies = ploidy.sample_ploidy(gts)
     routes = profile.phase_route(profile.contig_profile(ploidies, parsable), has_reads)
