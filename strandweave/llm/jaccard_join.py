@@ -23,6 +23,7 @@ Equal sets are one class throughout. Results are whole: every document, every co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,12 @@ from strandweave.llm.graph import connected_components, cut, neighbour_labels
 from strandweave.llm.textkit import chunks, distinct_pairs, mix64, scan_words, shingles
 
 #: Size of the table of recurring shingles: 2 ** ORDER_BITS bytes, whatever the input.
-ORDER_BITS = 21
+ORDER_BITS = 22
 #: Hashes that a task gathers before it reports those that recur.
 _FLUSH = 1 << 22
-_HOT = 8
+_HOT = 3
+#: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _recurring(docs: DataFrame, k: int) -> np.ndarray:
@@ -69,9 +72,9 @@ def _recurring(docs: DataFrame, k: int) -> np.ndarray:
         hot.select(F.shiftrightunsigned("h", 64 - ORDER_BITS).cast("int").alias("b"), F.floor(F.log2("n")).cast("int").alias("level"))
         .groupBy("b")
         .agg(F.max("level").alias("level"))
-        .toPandas()
+        .toArrow()
     )
-    table[found["b"].to_numpy(dtype=np.int64)] = np.minimum(found["level"].to_numpy(dtype=np.int64), 15)
+    table[found["b"].to_numpy()] = np.minimum(found["level"].to_numpy(), 15)
     return table
 
 
@@ -143,12 +146,22 @@ def jaccard_components(
     # one row of each class; rows that repeat an id with other texts stay apart by their set
     reps = filled.join(classes, ["n", "f1", "f2"]).where("uid = class_id").dropDuplicates(["n", "f1", "f2"])
     same_id = filled.select("uid", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
-    placed = reps.select(F.explode("items").alias("s"), F.xxhash64("uid", "f1", "f2").alias("x"), "uid", "n").repartition("s")
-    wide = placed.groupBy("s").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    regions = cut(placed.join(wide, "s").select("s", "x", "uid", "n"))
+    # sizes that can link are at most one band apart; each set stands in its band and the next
+    band = F.floor(F.log("n") / -math.log(t) + 1e-9)
+    # the smaller set of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1 shingles already
+    early = F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
+    spread = reps.select(F.posexplode("items").alias("i", "item"), F.xxhash64("uid", "f1", "f2").alias("x"), "uid", "n").select("item", "x", "uid", "n", early.alias("early"), F.explode(F.array(band, band + 1)).alias("band"))
+    placed = spread.select(F.xxhash64("item", "band").alias("s"), "x", "uid", "n", "early").repartition("s")
+    low, high = F.min("n"), F.max("n")
+    wide = placed.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.max("early").alias("some"), low.alias("low"), high.alias("high")).where("members > 1 and some").select("s", "members", "low", "high")
+    # two members that cannot link by size are no region
+    regions = cut(placed.join(wide, "s").where(F.expr("members > 2 or low * 100 >= high * %d" % percent)).select("s", "x", "uid", "n"))
     nodes = cut(regions.select("x", "uid").distinct())
-    wanted = source.join(nodes.select("uid").distinct(), "uid", "left_semi")
-    sets = cut(shingle_sets(wanted, k).select(F.xxhash64("uid", "f1", "f2").alias("uid"), "items").dropDuplicates(["uid"]))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(nodes, "x").select("uid").distinct()
+        rows_ = source.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "uid", "left_semi")
+        return cut(shingle_sets(rows_, k).select(F.xxhash64("uid", "f1", "f2").alias("uid"), "items").dropDuplicates(["uid"]))
 
     def near(found: DataFrame) -> DataFrame:
         return found.where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
@@ -156,13 +169,11 @@ def jaccard_components(
     links: DataFrame | None = None
     alive = regions.withColumns({"comp": F.col("x"), "d": F.array().cast("array<double>")})
     for turn in range(rounds):
-        pivots = alive.groupBy("s").agg(F.min_by(F.struct(F.col("x").alias("p"), F.col("comp").alias("pc")), F.struct(F.xxhash64("x", F.lit(turn)), "x")).alias("v"), F.count_distinct("comp").alias("comps"))
-        alive = cut(alive.join(pivots.where("comps > 1"), "s").select("s", "x", "uid", "n", "comp", "d", "v.p", "v.pc"))
-        pairs = alive.where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        if pairs.isEmpty():
-            alive = alive.limit(0)
-            break
-        found = cut(_measured(pairs, sets))
+        pivots = alive.groupBy("s").agg(F.min_by(F.struct(F.col("x").alias("p"), F.col("n").alias("pn")), F.struct(F.xxhash64("x", F.lit(turn)), "x")).alias("v"), F.count_distinct("comp").alias("comps"))
+        alive = cut(alive.join(pivots.where("comps > 1"), "s").select("s", "x", "uid", "n", "comp", "d", "v.p", "v.pn"))
+        fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+        pairs = cut(alive.where("x <> p").where(fits).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct())
+        found = cut(_measured(pairs, sets_of(pairs)))
         links = near(found) if links is None else links.unionByName(near(found))
         component = neighbour_labels(links)
         gap = found.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("gap"))
@@ -170,21 +181,26 @@ def jaccard_components(
             alive.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")})
             .join(gap, ["a", "b"], "left")
             .join(component.select(F.col("id").alias("x"), "component"), "x", "left")
-            .select("s", "x", "uid", "n", F.coalesce("component", "x").alias("comp"), F.concat("d", F.array(F.coalesce("gap", F.lit(0.0)))).alias("d"))
+            .select("s", "x", "uid", "n", F.coalesce("component", "x").alias("comp"), F.concat("d", F.array(F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("gap")))).alias("d"))
         )
     rest = alive.groupBy("s").agg(F.count_distinct("comp").alias("comps")).where("comps > 1")
-    # sizes that can link, then the band of the distance to the first pivot; one side takes the next band too
+    # the band of the distance to the first pivot, one more for sizes that it cannot link with (no distance is
+    # known: they meet all bands); one side takes the next band too
+    bands = int(1 / eps) + 2
     banded = alive.join(rest, "s").select("s", "x", "n", "comp", "d", F.floor(F.get("d", F.lit(0)) / eps).cast("int").alias("band"))
-    guests = banded.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    every = F.sequence(F.lit(0), F.lit(bands))
+    guests = banded.withColumn("band", F.explode(F.when(F.col("band").isNull(), F.concat(every, F.array(F.lit(-1)))).otherwise(F.array(F.col("band"), F.col("band") + 1, F.lit(-1)))))
+    banded = banded.withColumn("band", F.coalesce("band", F.lit(-1)))
     one, two = banded.alias("one"), guests.alias("two")
-    close = F.forall(F.zip_with("one.d", "two.d", lambda p, q: F.abs(p - q)), lambda g: g <= eps + 1e-9)
+    close = F.forall(F.zip_with("one.d", "two.d", lambda p, q: F.abs(p - q)), lambda g: F.coalesce(g <= eps + 1e-9, F.lit(True)))
     pairs = (
         one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.band") == F.col("two.band")) & (F.col("one.comp") != F.col("two.comp")))
         .where((F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent) & close)
         .select(F.least("one.x", "two.x").alias("a"), F.greatest("one.x", "two.x").alias("b"))
         .distinct()
     )
-    last = near(_measured(pairs, sets))
+    pairs = cut(pairs)
+    last = near(_measured(pairs, sets_of(pairs)))
     links = cut(last if links is None else links.unionByName(last))
     # from sets to ids: a set's node stands for its class's least id
     ids = nodes.select(F.col("x"), "uid")

@@ -115,9 +115,9 @@ def train(docs: DataFrame, usable: Column, sample_per_lang: int = SAMPLE_PER_LAN
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
     # at most languages x buckets rows reach the driver
-    counted = sample.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((BUCKETS, len(langs)))
-    table[counted["bucket"], counted["lang"]] = counted["n"]
+    table[counted["bucket"].to_numpy(), counted["lang"].to_numpy()] = counted["n"].to_numpy()
     table = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BUCKETS))
     return langs, table.astype(np.float32)
 

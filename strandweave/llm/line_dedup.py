@@ -32,8 +32,21 @@ from strandweave.llm.graph import cut
 MIN_CHARS, THRESHOLD, HOT, PIECE = 64, 1, 64, 8
 
 
+#: White space that trimming takes and blanks replace.
+_EDGE = " \t\r"
+#: Rows up to which a side of 16 to 40 bytes a row is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
 def normalise(line: Column) -> Column:
-    return F.trim(F.translate(F.lower(line), "123456789\t\r", "000000000  "))
+    low = F.lower(F.btrim(line, F.lit(_EDGE)))
+    # few lines have a character to replace, and looking for one is cheaper than replacing none
+    return F.when(low.rlike(r"[1-9\t\r]"), F.translate(low, "123456789\t\r", "000000000  ")).otherwise(low)
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """A checkpointed side with a broadcast hint if its rows are few."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -139,11 +152,31 @@ def near_earlier(distinct: DataFrame, texts, threshold: int, hot: int = HOT) ->
         links = links.unionByName(both.select("t.h1", "t.h2"))
     one = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("norm").alias("na"))
     two = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("nb"))
-    checked = pairs.distinct().join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).where(within_edits(F.col("na"), F.col("nb"), threshold))
+    met = pairs.distinct().join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
+    checked = _trimmed(met, threshold).where(within_edits(F.col("ta"), F.col("tb"), threshold))
     found = checked.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
     return (found if links is None else found.unionByName(links)).distinct()
 
 
+def _trimmed(met: DataFrame, k: int) -> DataFrame:
+    """Pairs with ``ta`` and ``tb``: their texts without equal blocks of PIECE characters at both ends.
+
+    Equal ends don't change the distance. With one edit at most, what is left spans the blocks
+    at the edit, so longer rests are no links.
+    """
+    blocks = F.expr(f"sequence(0, least(length(na), length(nb)) div {PIECE})")
+    differs = F.transform(blocks, lambda i: F.col("na").substr(i * PIECE + 1, F.lit(PIECE)) != F.col("nb").substr(i * PIECE + 1, F.lit(PIECE)))
+    head = F.array_position(differs, True) - 1
+    begun = met.withColumn("p", F.when(head < 0, F.least(F.length("na"), F.length("nb"))).otherwise(head * PIECE).cast("int"))
+    begun = begun.withColumns({"ra": F.col("na").substr(F.col("p") + 1, F.length("na")), "rb": F.col("nb").substr(F.col("p") + 1, F.length("nb"))})
+    room = F.expr(f"least(length(ra), length(rb)) div {PIECE}")
+    back = F.transform(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.col("ra").substr(F.length("ra") - i * PIECE + 1, F.lit(PIECE)) != F.col("rb").substr(F.length("rb") - i * PIECE + 1, F.lit(PIECE)))
+    tail = F.array_position(back, True) - 1
+    ended = begun.withColumn("q", F.when(room == 0, F.lit(0)).when(tail < 0, room * PIECE).otherwise(tail * PIECE).cast("int"))
+    out = ended.withColumns({"ta": F.col("ra").substr(F.lit(1), F.length("ra") - F.col("q")), "tb": F.col("rb").substr(F.lit(1), F.length("rb") - F.col("q"))})
+    return out.where(F.greatest(F.length("ta"), F.length("tb")) <= 2 * PIECE + 1) if k == 1 else out
+
+
 def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
     """Pairs (a earlier, b later) of an index line with other lines of its key; keys are bounded by HOT."""
     one = rows.where("not probe").select(*key, F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("rank").alias("rx"))
@@ -157,7 +190,7 @@ def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed lines cut from the text, and ``removed_lines``, their numbers from 0."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    normal = source.where(F.length("line") >= min_chars).select("doc_id", "pos", normalise(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
+    normal = source.where((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(_EDGE))) >= min_chars)).select("doc_id", "pos", normalise(F.col("line")).alias("norm"))
     hashed = normal.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
     lines = cut(hashed.select("doc_id", "pos", "h1", "h2", _keys(F.col("norm"), threshold).alias("keys")))
     ranked = lines.select("h1", "h2", _rank("doc_id", "pos").alias("rank"))
@@ -165,7 +198,13 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     distinct = lines.withColumn("rank", _rank("doc_id", "pos")).join(first.select("h1", "h2", "rank"), ["h1", "h2", "rank"]).dropDuplicates(["h1", "h2"])
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return hashed.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+        # a line's text is read where it comes first, from the documents that hold such lines only
+        places = cut(distinct.join(wanted, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("places")))
+        held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
+        met = held.join(_small(places).withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+        found = met.select("parts", F.explode("places").alias("p")).select(F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), normalise(F.get("parts", F.col("p.pos"))).alias("norm"))
+        # rows that share an id may have another line at the place
+        return found.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64(F.lit(1), "norm") == F.col("h2"))).dropDuplicates(["h1", "h2"])
 
     near = near_earlier(distinct, texts, threshold, hot).withColumn("near", F.lit(True))
     verdict = first.join(near, ["h1", "h2"], "left").where("near or rank <> last").select("h1", "h2", F.when(~F.coalesce("near", F.lit(False)), F.col("rank")).alias("keep"))
