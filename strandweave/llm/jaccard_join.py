@@ -146,17 +146,17 @@ def jaccard_components(
     # one row of each class; rows that repeat an id with other texts stay apart by their set
     reps = filled.join(classes, ["n", "f1", "f2"]).where("uid = class_id").dropDuplicates(["n", "f1", "f2"])
     same_id = filled.select("uid", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
-    # sizes that can link are at most one band apart; each set stands in its band and the next
+    # sizes that can link are at most one band apart: a set stands in its band, and as the smaller one in the next
     band = F.floor(F.log("n") / -math.log(t) + 1e-9)
     # the smaller set of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1 shingles already
     early = F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
-    spread = reps.select(F.posexplode("items").alias("i", "item"), F.xxhash64("uid", "f1", "f2").alias("x"), "uid", "n").select("item", "x", "uid", "n", early.alias("early"), F.explode(F.array(band, band + 1)).alias("band"))
-    placed = spread.select(F.xxhash64("item", "band").alias("s"), "x", "uid", "n", "early").repartition("s")
-    low, high = F.min("n"), F.max("n")
-    wide = placed.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.max("early").alias("some"), low.alias("low"), high.alias("high")).where("members > 1 and some").select("s", "members", "low", "high")
+    spread = reps.select(F.posexplode("items").alias("i", "item"), F.xxhash64("uid", "f1", "f2").alias("x"), "n").select("item", "x", (F.col("n") * 2 + early.cast("long")).alias("sized"), F.explode(F.when(early, F.array(band, band + 1)).otherwise(F.array(band))).alias("band"))
+    placed = spread.select(F.xxhash64("item", "band").alias("s"), "x", "sized").repartition("s")
+    low, high = F.shiftright(F.min("sized"), 1), F.shiftright(F.max("sized"), 1)
+    wide = placed.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("sized").bitwiseAND(F.lit(1)) == 1).alias("some"), low.alias("low"), high.alias("high")).where("members > 1 and some").select("s", "members", "low", "high")
     # two members that cannot link by size are no region
-    regions = cut(placed.join(wide, "s").where(F.expr("members > 2 or low * 100 >= high * %d" % percent)).select("s", "x", "uid", "n"))
-    nodes = cut(regions.select("x", "uid").distinct())
+    regions = cut(placed.join(wide, "s").where(F.expr("members > 2 or low * 100 >= high * %d" % percent)).select("s", "x", F.shiftright("sized", 1).alias("n")))
+    nodes = cut(reps.select(F.xxhash64("uid", "f1", "f2").alias("x"), "uid").join(regions.select("x").distinct(), "x", "left_semi"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(nodes, "x").select("uid").distinct()
@@ -170,7 +170,7 @@ def jaccard_components(
     alive = regions.withColumns({"comp": F.col("x"), "d": F.array().cast("array<double>")})
     for turn in range(rounds):
         pivots = alive.groupBy("s").agg(F.min_by(F.struct(F.col("x").alias("p"), F.col("n").alias("pn")), F.struct(F.xxhash64("x", F.lit(turn)), "x")).alias("v"), F.count_distinct("comp").alias("comps"))
-        alive = cut(alive.join(pivots.where("comps > 1"), "s").select("s", "x", "uid", "n", "comp", "d", "v.p", "v.pn"))
+        alive = cut(alive.join(pivots.where("comps > 1"), "s").select("s", "x", "n", "comp", "d", "v.p", "v.pn"))
         fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
         pairs = cut(alive.where("x <> p").where(fits).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct())
         found = cut(_measured(pairs, sets_of(pairs)))
@@ -181,7 +181,7 @@ def jaccard_components(
             alive.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")})
             .join(gap, ["a", "b"], "left")
             .join(component.select(F.col("id").alias("x"), "component"), "x", "left")
-            .select("s", "x", "uid", "n", F.coalesce("component", "x").alias("comp"), F.concat("d", F.array(F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("gap")))).alias("d"))
+            .select("s", "x", "n", F.coalesce("component", "x").alias("comp"), F.concat("d", F.array(F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("gap")))).alias("d"))
         )
     rest = alive.groupBy("s").agg(F.count_distinct("comp").alias("comps")).where("comps > 1")
     # the band of the distance to the first pivot, one more for sizes that it cannot link with (no distance is
