@@ -143,25 +143,23 @@ def jaccard_components(
     rows = cut(shingle_sets(source, k, t, table))
     filled = rows.where("n > 0 and uid is not null")
     classes = filled.groupBy("n", "f1", "f2").agg(F.min("uid").alias("class_id"))
-    # one row of each class; rows that repeat an id with other texts stay apart by their set
-    reps = filled.join(classes, ["n", "f1", "f2"]).where("uid = class_id").dropDuplicates(["n", "f1", "f2"])
+    # a set is known by its fingerprint, so equal sets are one member of a region without being joined first
+    node = F.xxhash64("n", "f1", "f2")
     same_id = filled.select("uid", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
     # sizes that can link are at most one band apart: a set stands in its band, and as the smaller one in the next
     band = F.floor(F.log("n") / -math.log(t) + 1e-9)
     # the smaller set of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1 shingles already
     early = F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
-    spread = reps.select(F.posexplode("items").alias("i", "item"), F.xxhash64("uid", "f1", "f2").alias("x"), "n").select("item", "x", (F.col("n") * 2 + early.cast("long")).alias("sized"), F.explode(F.when(early, F.array(band, band + 1)).otherwise(F.array(band))).alias("band"))
+    spread = filled.select(F.posexplode("items").alias("i", "item"), node.alias("x"), "n").select("item", "x", (F.col("n") * 2 + early.cast("long")).alias("sized"), F.explode(F.when(early, F.array(band, band + 1)).otherwise(F.array(band))).alias("band"))
     placed = spread.select(F.xxhash64("item", "band").alias("s"), "x", "sized").repartition("s")
-    low, high = F.shiftright(F.min("sized"), 1), F.shiftright(F.max("sized"), 1)
-    wide = placed.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("sized").bitwiseAND(F.lit(1)) == 1).alias("some"), low.alias("low"), high.alias("high")).where("members > 1 and some").select("s", "members", "low", "high")
-    # two members that cannot link by size are no region
-    regions = cut(placed.join(wide, "s").where(F.expr("members > 2 or low * 100 >= high * %d" % percent)).select("s", "x", F.shiftright("sized", 1).alias("n")))
-    nodes = cut(reps.select(F.xxhash64("uid", "f1", "f2").alias("x"), "uid").join(regions.select("x").distinct(), "x", "left_semi"))
+    wide = placed.groupBy("s").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max(F.col("sized").bitwiseAND(F.lit(1)) == 1).alias("some")).where("x0 <> x1 and some").select("s")
+    regions = cut(placed.join(wide, "s").select("s", "x", F.shiftright("sized", 1).alias("n")).distinct())
+    nodes = cut(classes.select(node.alias("x"), F.col("class_id").alias("uid")).join(regions.select("x").distinct(), "x", "left_semi"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(nodes, "x").select("uid").distinct()
         rows_ = source.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "uid", "left_semi")
-        return cut(shingle_sets(rows_, k).select(F.xxhash64("uid", "f1", "f2").alias("uid"), "items").dropDuplicates(["uid"]))
+        return cut(shingle_sets(rows_, k).select(node.alias("uid"), "items").dropDuplicates(["uid"]))
 
     def near(found: DataFrame) -> DataFrame:
         return found.where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
