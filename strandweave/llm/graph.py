@@ -18,11 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, its lineage cut, safe against lost executors."""
+    """A reliable checkpoint: computed once, its lineage cut, safe against lost executors.
+
+    Shuffle files of plans that nothing refers to any more go when the driver's JVM collects
+    its garbage; it is asked to, so that a long chain of steps doesn't keep them all.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
