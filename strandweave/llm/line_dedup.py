@@ -152,7 +152,8 @@ def near_earlier(distinct: DataFrame, texts, threshold: int, hot: int = HOT) ->
         links = links.unionByName(both.select("t.h1", "t.h2"))
     one = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("norm").alias("na"))
     two = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("nb"))
-    met = pairs.distinct().join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
+    # written between steps: one nested expression of all of them takes the planner minutes
+    met = cut(pairs.distinct().join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).select("b1", "b2", "na", "nb"))
     checked = _trimmed(met, threshold).where(within_edits(F.col("ta"), F.col("tb"), threshold))
     found = checked.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
     return (found if links is None else found.unionByName(links)).distinct()
@@ -169,11 +170,13 @@ def _trimmed(met: DataFrame, k: int) -> DataFrame:
     head = F.array_position(differs, True) - 1
     begun = met.withColumn("p", F.when(head < 0, F.least(F.length("na"), F.length("nb"))).otherwise(head * PIECE).cast("int"))
     begun = begun.withColumns({"ra": F.col("na").substr(F.col("p") + 1, F.length("na")), "rb": F.col("nb").substr(F.col("p") + 1, F.length("nb"))})
+    begun = cut(begun.select("b1", "b2", "ra", "rb"))
     room = F.expr(f"least(length(ra), length(rb)) div {PIECE}")
     back = F.transform(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.col("ra").substr(F.length("ra") - i * PIECE + 1, F.lit(PIECE)) != F.col("rb").substr(F.length("rb") - i * PIECE + 1, F.lit(PIECE)))
     tail = F.array_position(back, True) - 1
     ended = begun.withColumn("q", F.when(room == 0, F.lit(0)).when(tail < 0, room * PIECE).otherwise(tail * PIECE).cast("int"))
     out = ended.withColumns({"ta": F.col("ra").substr(F.lit(1), F.length("ra") - F.col("q")), "tb": F.col("rb").substr(F.lit(1), F.length("rb") - F.col("q"))})
+    out = cut(out.select("b1", "b2", "ta", "tb"))
     return out.where(F.greatest(F.length("ta"), F.length("tb")) <= 2 * PIECE + 1) if k == 1 else out
 
 
