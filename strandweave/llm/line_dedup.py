@@ -96,17 +96,18 @@ def _cuts(length: Column, i: int, parts: int) -> Column:
     return F.floor(length * i / parts).cast("int")
 
 
+def _layout(k: int) -> list[tuple[int, int, int]]:
+    """(characters less, segment, shift) of each of a line's keys, in order."""
+    return [(less, i, shift) for less in range(k + 1) for i in range(k + 1) for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
+
+
 def _keys(norm: Column, k: int) -> Column:
-    """Index keys (probe false) of a line's own segments and probe keys of shorter lengths'."""
-    length, out = F.length(norm), []
-    for less in range(k + 1):
-        short = length - less
-        for i in range(k + 1):
-            start = _cuts(short, i, k + 1)
-            size = _cuts(short, i + 1, k + 1) - start
-            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
-                key = F.xxhash64(F.lit(i), short, norm.substr(start + shift + 1, size))
-                out.append(F.struct(key.alias("key"), F.lit(less > 0 or shift != 0).alias("probe"), F.lit(i).alias("seg"), F.lit(less).alias("less")))
+    """Index keys of a line's own segments and probe keys of shorter lengths', as ``_layout`` has them."""
+    out = []
+    for less, i, shift in _layout(k):
+        short = F.length(norm) - less
+        start = _cuts(short, i, k + 1)
+        out.append(F.xxhash64(F.lit(i), short, norm.substr(start + shift + 1, _cuts(short, i + 1, k + 1) - start)))
     return F.array(*out)
 
 
@@ -115,7 +116,11 @@ def near_earlier(distinct: DataFrame, texts, threshold: int, hot: int = HOT) ->
 
     ``distinct`` has (h1, h2, rank, keys); ``texts(wanted)`` gives (h1, h2, norm) of wanted lines.
     """
-    placed = distinct.select("h1", "h2", "rank", F.explode("keys").alias("k")).select("k.key", "k.probe", "k.seg", "k.less", "h1", "h2", "rank").repartition("key")
+    layout = _layout(threshold)
+    told = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("i") + 1)
+    placed = distinct.select("h1", "h2", "rank", F.posexplode("keys").alias("i", "key")).select(
+        "key", told([less > 0 or shift != 0 for less, _, shift in layout]).alias("probe"), told([i for _, i, _ in layout]).alias("seg"), told([less for less, _, _ in layout]).alias("less"), "h1", "h2", "rank"
+    ).repartition("key")
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("all_probe")).where("n > 1 and not all_probe").select("key", "n")
     shared = cut(placed.join(sizes, "key"))
     lines = cut(texts(shared.select("h1", "h2").distinct()))
