@@ -152,7 +152,9 @@ def score(docs: DataFrame, langs: list[str], table: np.ndarray, extra: dict[str,
                 post = np.where(grams > 0, odds.max(axis=1, initial=0) / np.maximum(odds.sum(axis=1), 1e-300), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names[best].tolist(), pa.string()), pa.array(post)], names=columns)
 
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in extra.items()])
+    # a text of marks or digits alone has no letter and is read as none
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.when(text.rlike(r"\p{L}"), text).alias("__text"), F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in extra.items()])
     return source.mapInArrow(predict, source.drop("__text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema)
 
 
