@@ -15,6 +15,7 @@ from strandweave.llm.jaccard_join import jaccard_components
 from strandweave.llm.language_id import identify_languages
 from strandweave.llm.line_dedup import line_dedup
 from strandweave.llm.mixing import mix_to_weights
+from strandweave.llm.oracles import ORACLES as ORACLES
 from strandweave.llm.packing import pack_powers_of_two
 from strandweave.llm.separator_scan import count_document_tokens
 from strandweave.llm.substring_dedup import repeated_passages
@@ -78,4 +79,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_separator_scan, op3_embedding_dedup, op4_substring_dedup, op5_language_id, op6_line_dedup, op7_mixing, op8_compression_quality, op9_jaccard_join, op10_packing)}
-ORACLES: dict[str, str] = {}
