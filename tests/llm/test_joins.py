@@ -104,6 +104,22 @@ def test_embeddings_recall_and_exact_margin(spark, sf):
     assert sum(r[1] for r in got) >= 0.95 * sum(r[1] for r in want)
 
 
+def test_embeddings_group_of_a_third_and_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    loose = unit(rng.normal(size=(500, 32)))
+    step = rng.normal(size=loose.shape)
+    step = unit(step - (step * loose).sum(axis=1, keepdims=True) * loose)
+    twins = 0.951 * loose + np.sqrt(1 - 0.951**2) * step
+    group = unit(unit(rng.normal(size=32)) + 0.02 * rng.normal(size=(500, 32)))
+    rows = list(enumerate(np.concatenate([loose, twins, group]).tolist()))
+    want = {r[0]: r for r in brute_vectors(rows)}
+    got = {r["vec_id"]: tuple(r) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=60, block_rows=128).collect()}
+    assert all(got[i][1] <= want[i][1] for i in want) and set(got) == set(want)
+    assert sum(got[i][1] for i in range(1000)) >= 0.97 * sum(want[i][1] for i in range(1000))
+    assert all(got[i] == want[i] for i in range(1000, 1500))
+
+
 def test_embeddings_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, []), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.01]), (10, [1.0, None]), (11, [-1.0, 0.0])]
