@@ -11,8 +11,9 @@ forest of its links, never the pairs.
 
 A class has as many cells whatever the input, so the rows grow with it. Of pairs at the
 threshold itself (cosine 0.95, 64 dimensions, random directions) six cells find 0.998 with
-1602 cells, more with fewer; nearer pairs are found more often. ``margin_sd`` adds each lower-numbered cell whose bisecting hyperplane is within so
-many standard deviations of a step of the threshold's angle; None takes the whole angle:
+1602 cells, more with fewer; nearer pairs are found more often. ``margin_sd`` adds each
+lower-numbered cell whose bisecting hyperplane is within so many standard deviations of a
+step of the threshold's angle in a random direction; None takes the whole angle:
 then recall is 1 for any data, at the price of many more rows.
 
 A vector that is null, empty, zero or holds null or non-finite components links with
