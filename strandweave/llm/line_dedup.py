@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines are normalised (lower case, digits to 0, tabs and carriage returns to blanks,
-trimmed); those of ``min_chars`` characters or more take part, shorter ones always stay. A
-line is removed if an earlier one, by (doc_id, line number) over the whole table, is equal to
-it or within ``threshold`` edits.
+trimmed). A line is removed if an earlier one, by (doc_id, line number) over the whole table,
+is equal to it, for lines of ``min_equal`` characters or more (``min_chars`` if None), or
+within ``threshold`` edits, for those of ``min_chars`` or more. Shorter lines always stay, so
+with ``min_equal`` = 1 equal lines of any length go but blank ones.
 
 Equal lines are one class. A class's line of length l is cut into ``threshold + 1`` even
 segments; two lines within the threshold share one of the shorter one's segments, at a
@@ -195,15 +196,19 @@ def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
     return met.select(pick("x1", "y1").alias("a1"), pick("x2", "y2").alias("a2"), pick("y1", "x1").alias("b1"), pick("y2", "x2").alias("b2"))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", min_equal: int | None = None) -> DataFrame:
     """``docs`` with removed lines cut from the text, and ``removed_lines``, their numbers from 0."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    normal = source.where((F.length("line") >= min_chars) & (F.length(F.btrim("line", F.lit(_EDGE))) >= min_chars)).select("doc_id", "pos", normalise(F.col("line")).alias("norm"))
+    least = min_chars if min_equal is None else min(min_equal, min_chars)
+    normal = source.where((F.length("line") >= least) & (F.length(F.btrim("line", F.lit(_EDGE))) >= least)).select("doc_id", "pos", normalise(F.col("line")).alias("norm"))
     hashed = normal.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
-    lines = cut(hashed.select("doc_id", "pos", "h1", "h2", _keys(F.col("norm"), threshold).alias("keys")))
+    # short lines meet their equals only: they have no keys for the edit join
+    keys = _keys(F.col("norm"), threshold)
+    keys = keys if least == min_chars else F.when(F.length("norm") >= min_chars, keys)
+    lines = cut(hashed.select("doc_id", "pos", "h1", "h2", keys.alias("keys")))
     ranked = lines.select("h1", "h2", _rank("doc_id", "pos").alias("rank"))
     first = ranked.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
-    distinct = lines.withColumn("rank", _rank("doc_id", "pos")).join(first.select("h1", "h2", "rank"), ["h1", "h2", "rank"]).dropDuplicates(["h1", "h2"])
+    distinct = lines.where("keys is not null").withColumn("rank", _rank("doc_id", "pos")).join(first.select("h1", "h2", "rank"), ["h1", "h2", "rank"]).dropDuplicates(["h1", "h2"])
 
     def texts(wanted: DataFrame) -> DataFrame:
         # a line's text is read where it comes first, from the documents that hold such lines only

@@ -193,6 +193,22 @@ def test_lines_on_sf_table_and_empty(spark, sf):
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "removed_lines"]
 
 
+def test_equal_short_lines_go_whatever_their_length(spark, sf):
+    rows = [(1, "Footer 1\n\n}\nkept"), (2, "  footer 2\n\n}\nfooters"), (3, " \n\t\nFOOTER 9\nown"), (None, "own\nlast"), (4, None)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(rows, DOCS), min_equal=1).collect()}
+    assert got == {1: rows[0][1], 2: "\nfooters", 3: " \n\t\nown", None: "last", 4: None}
+    # the query: of all lines that are not blank, no equal one comes later
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    norm = lambda s: s.lower().translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
+    seen, repeats = set(), defaultdict(int)
+    for i, text in sorted(docs):
+        for line in map(norm, (text or "").split("\n")):
+            repeats[i] += bool(line) and line in seen
+            seen.add(line)
+    removed = {r["doc_id"]: r["n_removed"] for r in queries.op6_line_dedup(spark, sf).collect()}
+    assert sum(repeats.values()) > 0 and all(removed[i] >= n for i, n in repeats.items())
+
+
 def test_passages(spark):
     passage = "One fine passage of words that is long enough to count. It has a second sentence with quite a few words in it. And a third."
     rows = [(1, f"Start here. {passage} End."), (2, f"Other words go first. {passage} Tail.\nLine two"), (3, "Short. Short."), (4, None), (5, ""), (None, passage), (6, f"{passage}\n{passage}")]
