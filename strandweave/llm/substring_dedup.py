@@ -1,11 +1,15 @@
 """Substring dedup by unit hashing: repeated passages are removed, original offsets retained.
 
 Units are lines and, within a line, sentences (cut after ``.``, ``!`` or ``?`` and white
-space). Each is normalised (white space to single blanks, trimmed, lower case) and hashed
-to 128 bits. A digest's occurrences are ranked by (doc_id, offset) over the whole table;
-the first is kept. Repeated units that follow each other in a text form a passage, and a
-passage of ``min_words`` words or more is removed; shorter repeats, such as a stock phrase
-on its own, stay. Passages that start inside a sentence are caught from the next one on.
+space). Besides, windows of ``WINDOW`` words are taken from the whole text's words, across
+lines: the one whose hash is least of each ``STEP`` in a row. So two passages that share
+WINDOW + STEP - 1 = 50 words share a window, wherever these stand, and the windows of a
+longer passage leave no word out but up to STEP - 1 at either end. Each unit and window is
+normalised (white space to single blanks, trimmed, lower case) and hashed to 128 bits. A
+digest's occurrences are ranked by (doc_id, offset) over the whole table; the first is kept.
+Repeated units and windows that follow each other or overlap form a passage, and a passage
+of ``min_words`` words or more is removed. Of shorter ones, such as a stock phrase on its
+own, only whole lines that repeat are removed.
 
 Null ids rank last. Rows with one id are one document for ranking: a unit at the same
 offset of two of them is one occurrence. Null, empty and wordless texts have no units and
@@ -16,7 +20,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,50 +30,93 @@ from pyspark.sql import functions as F
 
 #: A unit: text up to a sentence's end before white space, or up to a line's end.
 _UNIT = re.compile(r"[^\n]*?[.!?](?=[ \t\n\r\f\v])|[^\n]+")
-MIN_WORDS = 20
-
-
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, start, end, words, h1, h2): offsets in code points of the original text."""
+_WORD = re.compile(r"\S+")
+MIN_WORDS, WINDOW, STEP = 20, 26, 25
+#: Kinds of rows: a sentence, a line of one unit, a line of more (besides its units) and a window.
+SENTENCE, LINE, LINES, WINDOWS = range(4)
+
+
+def chosen(tokens: list[str]) -> list[int]:
+    """The first words, by number, of the windows with the least hash of each STEP in a row."""
+    n = len(tokens) - WINDOW + 1
+    if n < STEP:
+        return []
+    value = np.array([crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint64)
+    total = np.zeros(n, dtype=np.uint64)
+    for i in range(WINDOW):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + value[i : i + n]
+    total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = np.lib.stride_tricks.sliding_window_view(total, STEP).argmin(axis=1)
+    return np.unique(least + np.arange(len(least))).tolist()
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, kind, n, word, words, start, end, h1, h2): offsets in code points of the original text.
+
+    ``word`` is the number of its first word, ``n`` how many units it has. A line of more than
+    one unit has a row of its own if it is under ``min_words`` words; longer ones need none.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_128_intdigest
-        low = (1 << 64) - 1
-
-        def signed(v: int) -> int:
-            return v - (1 << 64) if v >> 63 else v
-
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, number, start, end, words, h1, h2 = [], [], [], [], [], [], []
+                rows: list[tuple] = []
+                hashes: list[bytes] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    i = 0
-                    for m in _UNIT.finditer(text or ""):
+                    every: list[str] = []
+                    line: list[tuple] = []
+                    text = text or ""
+                    edge = -1
+                    for m in _UNIT.finditer(text):
                         tokens = m.group().lower().split()
                         if not tokens:
                             continue
-                        h = digest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-                        ids.append(doc_id)
-                        number.append(i)
-                        start.append(m.start())
-                        end.append(m.end())
-                        words.append(len(tokens))
-                        h1.append(signed(h >> 64))
-                        h2.append(signed(h & low))
-                        i += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                    names=["doc_id", "unit", "start", "end", "words", "h1", "h2"],
-                )
+                        if m.start() > edge:
+                            _close(line, doc_id, every, min_words, rows, hashes, digest)
+                            edge = text.find("\n", m.start())
+                            edge = len(text) if edge < 0 else edge
+                        line.append((len(every), len(tokens), m.start(), m.end()))
+                        every += tokens
+                    _close(line, doc_id, every, min_words, rows, hashes, digest)
+                    picked = chosen(every)
+                    if picked:
+                        places = [w.span() for w in _WORD.finditer(text)]
+                        for w in picked:
+                            rows.append((doc_id, WINDOWS, 0, w, WINDOW, places[w][0], places[w + WINDOW - 1][1]))
+                            hashes.append(digest(" ".join(every[w : w + WINDOW]).encode("utf-8", "surrogatepass"), 1))
+                names = ["doc_id", "kind", "n", "word", "words", "start", "end"]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                h = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                made = [pa.array(c, pa.int64() if k == "doc_id" else pa.int32()) for k, c in zip(names, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(h[:, 0]), pa.array(h[:, 1])], names=[*names, "h1", "h2"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        split, "doc_id long, unit int, start int, `end` int, words int, h1 long, h2 long"
+        split, "doc_id long, kind int, n int, word int, words int, start int, `end` int, h1 long, h2 long"
     )
 
 
+def _close(line: list[tuple], doc_id: int | None, every: list[str], min_words: int, rows: list[tuple], hashes: list[bytes], digest) -> None:
+    """Rows of a line's units (first word, words, start, end), which are then cleared."""
+    for w, n, start, end in line:
+        rows.append((doc_id, LINE if len(line) == 1 else SENTENCE, 1, w, n, start, end))
+        hashes.append(digest(" ".join(every[w : w + n]).encode("utf-8", "surrogatepass")))
+    if len(line) > 1 and len(every) - line[0][0] < min_words:
+        rows.append((doc_id, LINES, len(line), line[0][0], len(every) - line[0][0], line[0][2], line[-1][3]))
+        hashes.append(digest(" ".join(every[line[0][0] :]).encode("utf-8", "surrogatepass")))
+    line.clear()
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``run``: those of a document that follow each other or overlap, by words, have the same."""
+    in_doc = W.partitionBy("doc_id").orderBy("word", "words", "start", "kind")
+    before = F.max(F.col("word") + F.col("words")).over(in_doc.rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("opens", F.coalesce((F.col("word") > before).cast("int"), F.lit(0))).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(W.unboundedPreceding, 0)))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_units, n_words, first_doc_id) of every passage to remove.
 
@@ -75,17 +124,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     are summed before their shuffle, and only digests with more than one occurrence come
     back to the units, so a line found everywhere is one row of that join's small side.
     """
-    all_units = units(docs, id_col, text_col)
+    all_units = units(docs, id_col, text_col, min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    first = all_units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("h1", "h2", "first")
-    later = all_units.join(first, ["h1", "h2"]).where(rank != F.col("first")).select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"))
-    # runs of neighbouring units: a document's repeated units only, so a window holds one text's at most
-    in_doc = W.partitionBy("doc_id").orderBy("unit", "start")
-    runs = later.dropDuplicates(["doc_id", "unit", "start"]).withColumn("run", F.col("unit") - F.row_number().over(in_doc))
+    first = all_units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h1", "h2", "first")
+    later = all_units.join(first, ["h1", "h2"]).where(rank != F.col("first"))
+    # a window that overlaps its own first occurrence, in text that repeats itself, is no other one
+    own = (F.col("kind") == WINDOWS) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + F.col("end") - F.col("start"))
+    later = later.where(~own).select("doc_id", "kind", "n", "word", "words", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
+    # a document's repeated units only, so a window holds one text's at most
+    runs = _runs(later.repartition("doc_id").dropDuplicates(["doc_id", "kind", "word", "words", "start"]))
+    in_run = W.partitionBy("doc_id", "run")
+    total = F.max(F.col("word") + F.col("words")).over(in_run) - F.min("word").over(in_run)
+    # of a short run whole lines are left, which may stand apart
+    runs = runs.withColumn("long", total >= min_words).where(F.col("long") | F.col("kind").isin(LINE, LINES))
     return (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
-        .where(F.col("n_words") >= min_words)
+        _runs(runs)
+        .groupBy("doc_id", "run")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum(F.when(~F.col("long") | (F.col("kind") != LINES), F.col("n")).otherwise(0)).alias("n_units"),
+            (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"),
+            F.min("first_doc_id").alias("first_doc_id"),
+        )
         .select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_units", "n_words", "first_doc_id")
     )
 

@@ -219,3 +219,25 @@ def test_passages(spark):
     assert texts[1] == rows[0][1] and texts[3] == "Short. Short." and texts[4] is None and texts[5] == ""
     assert texts[2] == "Other words go first. Tail.\nLine two" or texts[2].replace(" ", "") == "Otherwordsgofirst.Tail.\nLinetwo"
     assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_pasted_into_long_lines(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        passage, before = words(50), words(rng.randrange(60))
+        if i % 3 == 0:  # a passage of sentences, cut inside its first and last
+            passage = [w + "." * (j % 11 == i % 11) for j, w in enumerate(passage)]
+        rows.append((i, " ".join(words(rng.randrange(60)) + passage + words(30))))
+        rows.append((100 + i, " ".join(before + passage + words(rng.randrange(1, 60)))))
+        want[100 + i] = (len(" ".join(before)), len(" ".join(before + passage)))
+    got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got) == set(want)
+    assert all(want[i][0] <= r["start"] + 1 and r["end"] <= want[i][1] and r["n_words"] >= 20 for i, r in got.items())
+
+
+def test_short_lines_that_repeat_go_and_short_sentences_stay(spark):
+    rows = [(1, "Read more.\nAll rights reserved. Terms apply.\nOne. Thanks a lot. Two here"), (2, "Mine. Thanks a lot. Not yours\nRead more.\nall rights  reserved. Terms apply.\nEnd"), (3, "Terms apply. Read more. One")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()} == {1: rows[0][1], 2: "Mine. Thanks a lot. Not yours\n\nEnd", 3: rows[2][1]}
