@@ -2,8 +2,9 @@
 
 The ratio is UTF-8 bytes over compressed bytes. A text whose ratio leaves the band of its
 length is rejected: above it the text repeats itself, below it the text is noise. Texts of
-more than one chunk are also cut into chunks of ``CHUNK_BYTES`` and each whole chunk must lie
-in the chunk band, so a short stretch of spam in a long text counts. The base rules come
+more than ``CHUNK_BYTES`` are also cut into chunks of that size, the last of which ends at
+the text's end (it overlaps the one before), and each must lie in the chunk band, so a short
+stretch of spam in a long text counts wherever it stands. The base rules come
 first: a text with under 50 words, or with more than half its words in repeated 3-word
 windows, has failed whatever its ratio.
 
@@ -92,9 +93,9 @@ def compression_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     ratio[i] = len(text) / len(press.compress(text))
                     _, least, most = next(b for b in bands if len(text) < b[0])
                     fits[i] = least <= ratio[i] <= most
-                    whole = len(text) // chunk_bytes
-                    if whole > 1:
-                        each = [chunk_bytes / len(press.compress(text[j * chunk_bytes : (j + 1) * chunk_bytes])) for j in range(whole)]
+                    last = len(text) - chunk_bytes
+                    if last > 0:
+                        each = [chunk_bytes / len(press.compress(text[j : j + chunk_bytes])) for j in (*range(0, last, chunk_bytes), last)]
                         high[i], low[i] = max(each), min(each)
                         fits[i] &= chunk_band[0] <= low[i] and high[i] <= chunk_band[1]
                 failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])

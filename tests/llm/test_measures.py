@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -62,6 +63,21 @@ def test_quality_of_odd_texts(spark):
     assert compression_quality(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_quality_of_the_last_chunk(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))[: CHUNK_BYTES]
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(7900))
+    head = prose(3000)
+    texts = [head + " " + noise, head + " " + "spam and eggs " * 360, head + " " + prose(3000), head]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in compression_quality(spark.createDataFrame(rows, DOCS)).collect()}
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    for i, t in enumerate(texts[:3]):
+        each = [CHUNK_BYTES / len(press.compress(c.encode())) for c in ([t[:CHUNK_BYTES], t[CHUNK_BYTES : 2 * CHUNK_BYTES], t[-CHUNK_BYTES:]] if len(t) > 2 * CHUNK_BYTES else [t[:CHUNK_BYTES], t[-CHUNK_BYTES:]])]
+        assert (got[i]["min_chunk_ratio"], got[i]["max_chunk_ratio"]) == (min(each), max(each))
+    assert not got[0]["kept"] and not got[0]["base_failed"] and got[3]["min_chunk_ratio"] is None
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
