@@ -9,12 +9,11 @@ lowest of these, so exactly once. Cells are cut into blocks of at most ``block_r
 hash and each pair of blocks is a task group of its own; it returns counts and a spanning
 forest of its links, never the pairs.
 
-A class has as many cells whatever the input, so the rows grow with it. Of pairs at the
-threshold itself (cosine 0.95, 64 dimensions, random directions) six cells find 0.998 with
-1602 cells, more with fewer; nearer pairs are found more often. ``margin_sd`` adds each
-lower-numbered cell whose bisecting hyperplane is within so many standard deviations of a
-step of the threshold's angle in a random direction; None takes the whole angle:
-then recall is 1 for any data, at the price of many more rows.
+Besides, a class stands in each lower-numbered cell whose bisecting hyperplane is within
+``margin_sd`` standard deviations of a step of the threshold's angle in a random direction,
+so the cells of a class follow from distances and not from a fixed number: in dense regions
+and with many cells they are many. A step along few directions can be longer than that;
+None takes the whole angle: then recall is 1 for any data, at the price of yet more rows.
 
 A vector that is null, empty, zero or holds null or non-finite components links with
 nothing, as does one without id. Vectors of unlike lengths are never compared; each length
@@ -38,6 +37,8 @@ from strandweave.llm.graph import connected_components, cut
 #: Bounds of the fit: centroids, and sampled vectors for each (taken by hash of the vector).
 MAX_CELLS, SAMPLE_PER_CELL, ROWS_PER_CELL, ROUNDS = 4096, 16, 256, 8
 NEAR_CELLS, BLOCK_ROWS = 6, 2048
+#: Cells by distance, in standard deviations of a random step at the threshold; None is exact.
+MARGIN_SD = 3.5
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -94,7 +95,7 @@ def embedding_components(
     vector_col: str = "embedding",
     cells: int | None = None,
     near_cells: int = NEAR_CELLS,
-    margin_sd: float | None = 0.0,
+    margin_sd: float | None = MARGIN_SD,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``."""

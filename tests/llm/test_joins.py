@@ -120,6 +120,18 @@ def test_embeddings_group_of_a_third_and_pairs_at_the_threshold(spark):
     assert all(got[i] == want[i] for i in range(1000, 1500))
 
 
+def test_embeddings_pairs_in_one_cone(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(unit(rng.normal(size=64)) + 0.5 * unit(rng.normal(size=(2000, 64))))
+    step = rng.normal(size=base.shape)
+    step = unit(step - (step * base).sum(axis=1, keepdims=True) * base)
+    rows = list(enumerate(np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * step]).tolist()))
+    want = {r[0]: r[1] for r in brute_vectors(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=400).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values())
+
+
 def test_embeddings_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, []), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.01]), (10, [1.0, None]), (11, [-1.0, 0.0])]
