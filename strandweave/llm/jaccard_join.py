@@ -1,34 +1,39 @@
 """Exact Jaccard join of word-shingle sets in metric space, as classes and components.
 
-Distances are ``1 - J``, a metric. Pivots cut the collection into regions twice:
-
-1. *Singleton pivots.* Between unrelated documents every distance is exactly 1, so document
-   pivots alone separate nothing and every triangle window spans the collection. The first
-   pivots are therefore the one-shingle sets. A document is replicated into the regions of
-   the first ``n - ceil(t n) + 1`` of its shingles in one global order: two sets that share
-   none of these differ in more than ``1 - t``, so a region holds both ends of every link.
-   The order puts shingles that recur within a task's input last. Any order is exact; this
-   one keeps common passages and lines out of the regions.
-2. *Document pivots.* In each round each region that still joins unlike components takes a
-   pivot document, and all its members are measured against it (exact intersections).
-   Members within the radius link to the pivot, and components grow (labels that differ may
-   still be one component: that costs comparisons, never links). A region whose
-   members are all in one component is done: copies are never paired with each other.
-3. *Windows.* What is left after ``rounds`` rounds is cut into bands of the distance to the
-   region's pivots, a document being replicated to the neighbouring band; only pairs that
-   meet the triangle inequality for every pivot and are not yet connected are compared.
-
-Equal sets are one class throughout. Results are whole: every document, every component.
+Distances are ``1 - J``, a metric. Equal sets are one class and are joined once.
+
+1. *Pivots of one shingle.* Between unrelated documents every distance is exactly 1, so
+   document pivots alone separate nothing and every triangle window spans the collection.
+   The first pivots are therefore the sets of one shingle, ``{s}``: a set that holds s is
+   nearer to it than any that doesn't, and ties go to the first s of one global order. So a
+   set's home, its Voronoi region, is its first shingle, and its window reaches the regions
+   of its first ``n - ceil(t n) + 1``: two sets that share none of these differ in more than
+   ``1 - t``. Shingles that recur within a task's input come last in the order (any order is
+   exact; this keeps common passages out of the regions). A region of one class is done.
+2. *Small regions*, of ``LEAF`` classes at most, compare the pairs that the bounds leave:
+   sizes within t of each other, and enough shingles behind the shared one.
+3. *Large regions* take ``PIVOTS`` of their documents. All members are measured against
+   them (exact intersections); members within ``1 - t`` link to the pivot, so a group of
+   near copies is one component without a pair among them. A region of one component is done.
+4. *Recursion.* What is left of a large region is cut again: each member goes to the cell
+   of its nearest pivot document and, inside the triangle window of ``2 (1 - t)``, to those
+   of the others; a cell is cut by pivots of one more shingle, ``{s, s'}``, with s' among
+   the next in the order that a linked pair could share. The regions made this way go
+   through 2 to 4 again. Where cutting doesn't at least halve a region's pairs (a family of
+   sets that are all half alike), its pairs that meet the triangle inequality for every
+   pivot and are not yet connected are compared.
+
+Results are whole: every document, every component, whatever the size of a group. Counts,
+pivots and classes are pre-aggregated; rows of a frequent shingle are salted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import connected_components, cut, neighbour_labels
@@ -36,97 +41,228 @@ from strandweave.llm.textkit import chunks, distinct_pairs, mix64, scan_words, s
 
 #: Size of the table of recurring shingles: 2 ** ORDER_BITS bytes, whatever the input.
 ORDER_BITS = 22
-#: Hashes that a task gathers before it reports those that recur.
+#: Hashes that a task gathers before it reports those that recur, or its regions.
 _FLUSH = 1 << 22
 _HOT = 3
+#: A shingle that recurs 2 ** SALT_LEVEL times or more is dealt to several tasks.
+SALT_LEVEL = 12
+#: Classes of a small region, and document pivots of a large one.
+LEAF, PIVOTS = 32, 4
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def _recurring(docs: DataFrame, k: int) -> np.ndarray:
-    """A byte for each of 2 ** ORDER_BITS hash buckets: about log2 of how often its shingle recurs."""
+def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Distinct shingles (text index, hash) of a batch's ``text``; each text's number of them, node and fingerprint."""
+    doc, value = distinct_pairs(*shingles(scan_words(part.column("text"), fold_case=True), k))
+    n = np.bincount(doc, minlength=part.num_rows)
+    edge = np.cumsum(np.append(0, n))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value))])
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value ^ np.uint64(0x5851F42D4C957F2D)))])
+    f1, f2 = total[edge[1:]] - total[edge[:-1]], other[edge[1:]] - other[edge[:-1]]
+    x = mix64(f1 + mix64(f2 ^ n.astype(np.uint64)))
+    return doc, value, n, x.view(np.int64), f1.view(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _survey(docs: DataFrame, k: int) -> DataFrame:
+    """One pass: (uid, n, x, f) of each row of ``docs`` (uid, text), and (h, times) of shingles that recur in a task's share."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "n", "x", "f", "h", "times"]
         held: list[np.ndarray] = []
 
         def report() -> pa.RecordBatch:
             value = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
             head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-            n = np.diff(np.append(head, len(value)))
-            keep = n > 1
+            times = np.diff(np.append(head, len(value)))
+            keep = times > 1
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(value[head][keep].view(np.int64)), pa.array(n[keep], pa.int64())], names=["h", "n"])
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value[head][keep].view(np.int64)), pa.array(times[keep], pa.int64())], names=names)
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                doc, value = shingles(scan_words(part.column("text"), fold_case=True), k)
-                held.append(distinct_pairs(doc, value)[1])
+                _, value, n, x, f = _sets(part, k)
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n, pa.int64()), pa.array(x), pa.array(f), none, none], names=names)
+                held.append(value)
                 if sum(map(len, held)) > _FLUSH:
                     yield report()
         yield report()
 
-    hot = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= _HOT)
-    table = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
+    return docs.select("uid", "text").mapInArrow(read, "uid long, n long, x long, f long, h long, times long")
+
+
+def _levels(recurring: DataFrame) -> np.ndarray:
+    """A byte for each of 2 ** ORDER_BITS hash buckets: about log2 of how often its shingle recurs."""
+    hot = recurring.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= _HOT)
     # one row a bucket at most, so the driver gets 2 ** ORDER_BITS rows at the very most
     found = (
-        hot.select(F.shiftrightunsigned("h", 64 - ORDER_BITS).cast("int").alias("b"), F.floor(F.log2("n")).cast("int").alias("level"))
+        hot.select(F.shiftrightunsigned("h", 64 - ORDER_BITS).cast("int").alias("b"), F.floor(F.log2("times")).cast("int").alias("level"))
         .groupBy("b")
         .agg(F.max("level").alias("level"))
         .toArrow()
     )
-    table[found["b"].to_numpy()] = np.minimum(found["level"].to_numpy(), 15)
+    table = np.zeros(1 << ORDER_BITS, dtype=np.uint8)
+    table[found["b"].to_numpy()] = np.minimum(found["level"].to_numpy(), 60)
     return table
 
 
-def shingle_sets(docs: DataFrame, k: int, prefix_of: float | None = None, table=None) -> DataFrame:
-    """(uid, n, f1, f2) of each row of ``docs`` (uid, text), a fingerprint of the set; then
+def _ordered(doc: np.ndarray, value: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, item, level): each text's shingles in the global order; an item sorts by level, then hash."""
+    level = levels[value >> np.uint64(64 - ORDER_BITS)]
+    item = (np.minimum(level, 15).astype(np.uint64) << np.uint64(60)) | (value >> np.uint64(4))
+    order = np.lexsort((item, doc))
+    return doc[order], item[order], level[order]
+
 
-    with ``prefix_of`` = t the array ``prefix`` of first shingles, else the whole sorted set ``items``.
+def _first_regions(docs: DataFrame, k: int, t: float, table) -> DataFrame:
+    """(rid, salt, x, n, pos): each set in the regions of its first shingles, ``pos`` its place in its order.
+
+    A set is known by its fingerprints, and a task gives it once for each ``_FLUSH``, so copies
+    are one member of a region. ``salt`` is 0 but for shingles that recur very often.
     """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = table.value if table is not None else None
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        gathered = 0
         for batch in batches:
             for part in chunks(batch, "text"):
-                doc, value = distinct_pairs(*shingles(scan_words(part.column("text"), fold_case=True), k))
-                n = np.bincount(doc, minlength=part.num_rows)
-                edge = np.cumsum(np.append(0, n))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value))])
-                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value ^ np.uint64(0x5851F42D4C957F2D)))])
-                f1, f2 = total[edge[1:]] - total[edge[:-1]], other[edge[1:]] - other[edge[:-1]]
-                if prefix_of is not None:
-                    if levels is not None:
-                        # the level leads, so the shingles of a text come rare ones first
-                        value = (levels[value >> np.uint64(64 - ORDER_BITS)].astype(np.uint64) << np.uint64(60)) | (value >> np.uint64(4))
-                        order = np.lexsort((value, doc))
-                        doc, value = doc[order], value[order]
-                    size = np.where(n > 0, n - np.ceil(prefix_of * n - 1e-9).astype(np.int64) + 1, 0)
-                    value = value[np.arange(len(value)) - edge[:-1][doc] < size[doc]]
-                    edge = np.cumsum(np.append(0, size))
+                doc, value, n, x, _ = _sets(part, k)
+                fresh = np.zeros(len(x), bool)
+                for i in np.flatnonzero((n > 0) & part.column("uid").is_valid().to_numpy(zero_copy_only=False)):
+                    if x[i] not in seen:
+                        fresh[i] = True
+                        seen.add(x[i])
+                some = fresh[doc]
+                doc, item, level = _ordered(doc[some], value[some], table.value)
+                size = np.where(fresh, n, 0)
+                edge = np.cumsum(np.append(0, size))
+                pos = np.arange(len(doc)) - edge[doc]
+                early = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[doc]
+                doc, item, level, pos = doc[early], item[early], level[early].astype(np.int64), pos[early]
+                salt = np.where(level < SALT_LEVEL, 0, 1 + (x[doc] & ((np.int64(1) << np.maximum(level - SALT_LEVEL + 1, 0)) - 1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(value.view(np.int64)))],
-                    names=["uid", "n", "f1", "f2", "items"],
+                    [pa.array(item.view(np.int64)), pa.array(salt, pa.int64()), pa.array(x[doc]), pa.array(size[doc], pa.int32()), pa.array(pos, pa.int32())], names=["rid", "salt", "x", "n", "pos"]
                 )
+                gathered += int(n.sum())
+                if gathered > _FLUSH:
+                    seen.clear()
+                    gathered = 0
+
+    return docs.select("uid", "text").mapInArrow(place, "rid long, salt long, x long, n int, pos int")
+
+
+def _whole_sets(docs: DataFrame, k: int, table) -> DataFrame:
+    """(x, items): each row's whole set in the global order."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                doc, value, n, x, _ = _sets(part, k)
+                _, item, _ = _ordered(doc, value, table.value)
+                edge = np.cumsum(np.append(0, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(item.view(np.int64)))], names=["x", "items"])
+
+    return docs.select("uid", "text").mapInArrow(read, "x long, items array<long>")
+
 
-    return docs.select("uid", "text").mapInArrow(sets, "uid long, n long, f1 long, f2 long, items array<long>")
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class."""
+    dealt = rows.repartition("rid", "salt")
+    ends = dealt.groupBy("rid", "salt").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    plain = ends.where("salt = 0 and x0 <> x1").select("rid", "salt")
+    salted = ends.where("salt > 0")
+    frequent = salted.groupBy("rid").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).where("x0 <> x1").select("rid")
+    wide = plain.unionByName(salted.select("rid", "salt").join(frequent, "rid", "left_semi"))
+    return dealt.join(wide, ["rid", "salt"], "left_semi").dropDuplicates(["rid", "salt", "x"]).select("rid", "x", "n", "pos")
+
+
+def _sets_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, table) -> DataFrame:
+    """(x, items) of wanted nodes, each read from the text of its least id."""
+    wanted = cut(wanted)
+    ids = cut(rows.where("uid is not null").join(wanted, "x", "left_semi").groupBy("x").agg(F.min("uid").alias("uid")).select("uid").distinct())
+    # rows that share an id may have other sets: those not wanted go
+    return _whole_sets(source.join(_small(ids), "uid", "left_semi"), k, table).join(_small(wanted), "x", "left_semi").dropDuplicates(["x"])
+
+
+def _needed(na: Column, nb: Column, t: float) -> Column:
+    """Shingles that two sets of these sizes share at least if they are linked."""
+    return F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
+
+
+def _candidates(rows: DataFrame, level: int, t: float, eps: float | None = None) -> DataFrame:
+    """(a, b) of members of a region whose sizes and places let them be linked.
+
+    ``level`` shingles are known to be shared, the last one at ``pos``; behind it the two
+    have no more in common than either has left. With ``eps`` also the triangle inequality
+    for each pivot (``d``), and only pairs not yet connected (``comp``).
+    """
+    extra = ["comp", "d"] if eps is not None else []
+    one = rows.select("rid", *[F.col(c).alias(f"{c}1") for c in ("x", "n", "pos", *extra)])
+    two = rows.select("rid", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "pos", *extra)])
+    met = one.join(two, "rid").where("x1 < x2").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(t) - 1e-9)
+    met = met.where(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 + level >= _needed(F.col("n1"), F.col("n2"), t))
+    if eps is not None:
+        met = met.where("comp1 <> comp2").where(F.forall(F.zip_with("d1", "d2", lambda p, q: F.abs(p - q)), lambda g: g <= eps + 1e-9))
+    return met.select(F.col("x1").alias("a"), F.col("x2").alias("b"))
+
+
+def _pivots(large: DataFrame, level: int) -> DataFrame:
+    """(rid, i, p): up to PIVOTS documents of each region, the least by so many hashes."""
+    least = [F.min_by("x", F.xxhash64("x", F.lit(level * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+    return large.groupBy("rid").agg(*least).select("rid", F.posexplode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("i", "p"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, na, nb) of distinct pairs of class ids."""
-    left = sets.select(F.col("uid").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("uid").alias("b"), F.col("items").alias("ib"))
+    """(a, b, inter, na, nb) of distinct pairs."""
+    left = sets.select(F.col("x").alias("a"), F.col("items").alias("ia"))
+    right = sets.select(F.col("x").alias("b"), F.col("items").alias("ib"))
     return pairs.join(left, "a").join(right, "b").select(
         "a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"), F.size("ia").cast("long").alias("na"), F.size("ib").cast("long").alias("nb")
     )
 
 
+def _distances(large: DataFrame, pivots: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``large`` with ``d``, each member's distances to its region's pivots, and ``comp``, its component so far."""
+    gap = found.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("gap"))
+    met = large.join(pivots, "rid").select("rid", "x", "n", "pos", "i", F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+    told = met.join(gap, ["a", "b"], "left").groupBy("rid", "x", "n", "pos").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("gap", F.lit(0.0)).alias("gap")))).alias("told"))
+    return told.join(labels.select(F.col("id").alias("x"), "component"), "x", "left").select("rid", "x", "n", "pos", F.coalesce("component", "x").alias("comp"), F.col("told.gap").alias("d"))
+
+
+def _children(placed: DataFrame, sets: DataFrame, level: int, t: float, eps: float) -> DataFrame:
+    """(parent, rid, x, n, pos): members by cell (nearest pivot and window) and by the next shingle."""
+    cells = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.get("d", i) <= F.array_min("d") + 2 * eps + 1e-9)
+    last = F.least(F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + level, F.col("n") - 1)
+    after = F.slice("items", F.col("pos") + 2, F.greatest(last - F.col("pos"), F.lit(0)).cast("int"))
+    spread = placed.join(sets, "x").select("rid", "x", "n", "pos", cells.alias("cells"), F.posexplode(after).alias("j", "item"))
+    return spread.select("rid", "x", "n", "pos", "j", "item", F.explode("cells").alias("cell")).select(
+        F.col("rid").alias("parent"), F.xxhash64("rid", "cell", "item").alias("rid"), "x", "n", (F.col("pos") + 1 + F.col("j")).cast("int").alias("pos")
+    )
+
+
+def _enough(large: DataFrame, level: int, t: float) -> DataFrame:
+    """(a, b): members that share all the shingles that they need already, each with its region's least set.
+
+    Behind these they may have none in common, so no further cut would find them.
+    """
+    least = large.groupBy("rid").agg(F.min(F.struct("n", "x")).alias("least"))
+    met = large.join(least, "rid").where(F.col("x") != F.col("least.x")).where(_needed(F.col("n"), F.col("least.n"), t) <= level)
+    return met.select(F.least("x", "least.x").alias("a"), F.greatest("x", "least.x").alias("b"))
+
+
 def jaccard_components(
     docs: DataFrame,
     k: int = 5,
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 2,
+    leaf: int = LEAF,
 ) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``.
 
@@ -134,80 +270,68 @@ def jaccard_components(
     id with an equal set, ``component_id`` the least id reachable by links. Null, empty or
     wordless texts have an empty set and link with nothing (both ids are their own). Rows
     that share an id are linked by it; a null id is carried with null ids of class and
-    component if its set is empty, and else it takes those of its class.
+    component if its set is empty, and else it takes those of its class. An empty table
+    gives an empty result, other columns are ignored, whatever their names, and a very long
+    text is scanned in pieces: its distinct shingles must fit in a task's memory.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     t, eps = percent / 100, 1 - percent / 100
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(_recurring(source, k))
-    rows = cut(shingle_sets(source, k, t, table))
+    survey = cut(_survey(source, k))
+    table = spark.sparkContext.broadcast(_levels(survey.where("h is not null").select("h", "times")))
+    rows = survey.where("h is null").select("uid", "n", "x", "f")
     filled = rows.where("n > 0 and uid is not null")
-    classes = filled.groupBy("n", "f1", "f2").agg(F.min("uid").alias("class_id"))
-    # a set is known by its fingerprint, so equal sets are one member of a region without being joined first
-    node = F.xxhash64("n", "f1", "f2")
-    same_id = filled.select("uid", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
-    # sizes that can link are at most one band apart: a set stands in its band, and as the smaller one in the next
-    band = F.floor(F.log("n") / -math.log(t) + 1e-9)
-    # the smaller set of a pair shares one of its first n - ceil(2t / (1 + t) n) + 1 shingles already
-    early = F.col("i") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
-    spread = filled.select(F.posexplode("items").alias("i", "item"), node.alias("x"), "n").select("item", "x", (F.col("n") * 2 + early.cast("long")).alias("sized"), F.explode(F.when(early, F.array(band, band + 1)).otherwise(F.array(band))).alias("band"))
-    placed = spread.select(F.xxhash64("item", "band").alias("s"), "x", "sized").repartition("s")
-    wide = placed.groupBy("s").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max(F.col("sized").bitwiseAND(F.lit(1)) == 1).alias("some")).where("x0 <> x1 and some").select("s")
-    regions = cut(placed.join(wide, "s").select("s", "x", F.shiftright("sized", 1).alias("n")).distinct())
-    nodes = cut(classes.select(node.alias("x"), F.col("class_id").alias("uid")).join(regions.select("x").distinct(), "x", "left_semi"))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(nodes, "x").select("uid").distinct()
-        rows_ = source.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, "uid", "left_semi")
-        return cut(shingle_sets(rows_, k).select(node.alias("uid"), "items").dropDuplicates(["uid"]))
-
-    def near(found: DataFrame) -> DataFrame:
-        return found.where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
+    classes = filled.groupBy("x", "f").agg(F.min("uid").alias("class_id"))
+    same_id = filled.join(classes, ["x", "f"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
 
+    alive = cut(_shared(_first_regions(source, k, t, table)))
     links: DataFrame | None = None
-    alive = regions.withColumns({"comp": F.col("x"), "d": F.array().cast("array<double>")})
-    for turn in range(rounds):
-        pivots = alive.groupBy("s").agg(F.min_by(F.struct(F.col("x").alias("p"), F.col("n").alias("pn")), F.struct(F.xxhash64("x", F.lit(turn)), "x")).alias("v"), F.count_distinct("comp").alias("comps"))
-        alive = cut(alive.join(pivots.where("comps > 1"), "s").select("s", "x", "n", "comp", "d", "v.p", "v.pn"))
-        fits = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-        pairs = cut(alive.where("x <> p").where(fits).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct())
-        found = cut(_measured(pairs, sets_of(pairs)))
-        links = near(found) if links is None else links.unionByName(near(found))
-        component = neighbour_labels(links)
-        gap = found.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("gap"))
-        alive = (
-            alive.withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")})
-            .join(gap, ["a", "b"], "left")
-            .join(component.select(F.col("id").alias("x"), "component"), "x", "left")
-            .select("s", "x", "n", F.coalesce("component", "x").alias("comp"), F.concat("d", F.array(F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("gap")))).alias("d"))
-        )
-    rest = alive.groupBy("s").agg(F.count_distinct("comp").alias("comps")).where("comps > 1")
-    # the band of the distance to the first pivot, one more for sizes that it cannot link with (no distance is
-    # known: they meet all bands); one side takes the next band too
-    bands = int(1 / eps) + 2
-    banded = alive.join(rest, "s").select("s", "x", "n", "comp", "d", F.floor(F.get("d", F.lit(0)) / eps).cast("int").alias("band"))
-    every = F.sequence(F.lit(0), F.lit(bands))
-    guests = banded.withColumn("band", F.explode(F.when(F.col("band").isNull(), F.concat(every, F.array(F.lit(-1)))).otherwise(F.array(F.col("band"), F.col("band") + 1, F.lit(-1)))))
-    banded = banded.withColumn("band", F.coalesce("band", F.lit(-1)))
-    one, two = banded.alias("one"), guests.alias("two")
-    close = F.forall(F.zip_with("one.d", "two.d", lambda p, q: F.abs(p - q)), lambda g: F.coalesce(g <= eps + 1e-9, F.lit(True)))
-    pairs = (
-        one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.band") == F.col("two.band")) & (F.col("one.comp") != F.col("two.comp")))
-        .where((F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent) & close)
-        .select(F.least("one.x", "two.x").alias("a"), F.greatest("one.x", "two.x").alias("b"))
-        .distinct()
-    )
-    pairs = cut(pairs)
-    last = near(_measured(pairs, sets_of(pairs)))
-    links = cut(last if links is None else links.unionByName(last))
-    # from sets to ids: a set's node stands for its class's least id
-    ids = nodes.select(F.col("x"), "uid")
+    sets: DataFrame | None = None
+    level = 1
+    while True:
+        counts = alive.groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
+        sized = cut(alive.join(counts, "rid"))
+        large = sized.where(F.col("c") > leaf).drop("c")
+        pairs = _candidates(sized.where(F.col("c") <= leaf), level, t)
+        todo = large.limit(1).count() > 0
+        if todo:
+            pivots = cut(_pivots(large, level))
+            to = large.join(pivots, "rid").where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+            pairs = pairs.unionByName(to)
+        pairs = cut(pairs.distinct())
+        if sets is None:
+            # all that later levels need: they only cut these regions again
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(large.select("x")).distinct()
+            sets = cut(_sets_of(source, rows, wanted, k, table))
+        found = cut(_measured(pairs, sets))
+        near = found.where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
+        links = near if links is None else links.unionByName(near)
+        if not todo:
+            break
+        links = cut(links.unionByName(_enough(large, level, t)).distinct())
+        placed = cut(_distances(large, pivots, found, neighbour_labels(links)))
+        mixed = placed.groupBy("rid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).cast("double").alias("c")).where("c0 <> c1").select("rid", "c")
+        placed = placed.join(mixed, "rid", "left_semi")
+        children = cut(_children(placed, sets, level, t, eps))
+        sizes = cut(children.groupBy("parent", "rid").agg(F.count(F.lit(1)).alias("c")))
+        cost = sizes.groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("cost"))
+        cuts = cut(mixed.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c")).alias("cuts")))
+        rest = _candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct().join(found, ["a", "b"], "left_anti")
+        apart = _measured(rest, sets).where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter")))
+        links = cut(links.unionByName(apart.select("a", "b")))
+        again = sizes.where("c > 1").join(cuts.where("cuts").select(F.col("rid").alias("parent")), "parent", "left_semi").select("rid")
+        alive = cut(children.join(again, "rid", "left_semi").select("rid", "x", "n", "pos"))
+        level += 1
+    links = cut(links)
+    # from nodes to ids: a node stands for its class's least id
+    ids = cut(classes.select("x", F.col("class_id").alias("uid")).join(links.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi"))
     by_id = links.join(ids.select(F.col("x").alias("a"), F.col("uid").alias("ua")), "a").join(ids.select(F.col("x").alias("b"), F.col("uid").alias("ub")), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))
     component = connected_components(by_id.unionByName(same_id))
     return (
-        rows.select("uid", "n", "f1", "f2")
-        .join(classes, ["n", "f1", "f2"], "left")
-        .select(F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "uid").alias("class_id"))
+        rows.join(classes, ["x", "f"], "left")
+        .select(F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class_id", "uid")).otherwise(F.col("uid")).alias("class_id"))
         .join(component.withColumnRenamed("id", "class_id"), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     )

@@ -87,26 +87,40 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan_words(texts: pa.Array, fold_case: bool = False) -> Words:
+    """Words of all texts. Bytes are hashed in pieces that end at white space or between texts, so a very
+
+    long text needs some 24 bytes a word, and the tables of powers stay at the size of a piece (a word that
+    is longer than a piece is one).
+    """
     raw, offsets = raw_bytes(texts)
-    n = len(raw)
     inside = ~_SPACE[raw]
-    before = np.empty(n, dtype=bool)
-    after = np.empty(n, dtype=bool)
-    if n:
-        before[0] = after[-1] = False
-        before[1:] = inside[:-1]
-        after[:-1] = inside[1:]
-        heads = offsets[:-1]
-        before[heads[heads < n]] = False
-        tails = offsets[1:]
-        after[tails[tails > 0] - 1] = False
+    parts, at = [], 0
+    while at < len(raw):
+        to = min(len(raw), at + CHUNK_BYTES)
+        while to < len(raw) and inside[to]:
+            gap = np.flatnonzero(~inside[to : to + CHUNK_BYTES])
+            to = to + int(gap[0]) if len(gap) else min(len(raw), to + CHUNK_BYTES)
+        parts.append(_words(raw, inside, offsets, at, to, fold_case))
+        at = to
+    starts, ends, hashes = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets), offsets)
+
+
+def _words(raw: np.ndarray, inside: np.ndarray, offsets: np.ndarray, at: int, to: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words in raw[at:to], which no word leaves but at a text's edge."""
+    inside, n = inside[at:to], to - at
+    before = np.append(False, inside[:-1])
+    after = np.append(inside[1:], False)
+    edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at
+    before[edges[edges < n]] = False
+    after[edges[edges > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_FOLDED if fold_case else _BYTE)[raw] * power[:n], out=total[1:])
+    np.cumsum((_BYTE_FOLDED if fold_case else _BYTE)[raw[at:to]] * power[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
-    return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets), offsets)
+    return starts + at, ends + at, hashes
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

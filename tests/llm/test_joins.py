@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave.llm import queries
 from strandweave.llm.embedding_dedup import embedding_components
@@ -70,6 +71,35 @@ def test_jaccard_chains_and_large_groups(spark, edits):
     assert got == brute_jaccard(rows, 4, 85)
 
 
+@pytest.mark.parametrize("shared, k, percent", [(30, 4, 85), (170, 4, 85), (185, 2, 80), (190, 1, 60)])
+def test_jaccard_many_unlike_sets_in_one_region(spark, shared, k, percent):
+    """A common passage of any share, families at the threshold behind it, and sets of a few shingles."""
+    rng = random.Random(shared)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = []
+    for i in range(120):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(200 - shared)]
+        for j in range(3):
+            words = passage + own
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+            rows.append((3 * i + j, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.choices("abcdefg", k=rng.randrange(6)) + passage[: rng.randrange(14)])) for i in range(150)]
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, DOCS), k=k, percent=percent, leaf=4).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute_jaccard(rows, k, percent)
+
+
+def test_jaccard_odd_input(spark):
+    long = " ".join(f"w{i}" for i in range(400_000)) + " " + "z" * 3_000_000
+    rows = [(1, long, 5), (2, "\n" + long.upper(), 6), (3, "a b c d e f", 7), (3, "g h i j k l", 8), (4, "g h i j k l m", 9), (5, "A  b c d e f", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int").withColumns({c: F.lit(0) for c in ("uid", "x", "n", "rid", "items", "class_id")})
+    got = {tuple(r) for r in jaccard_components(docs, k=3, percent=100).select("doc_id", "n_shingles", "component_id").collect()}
+    # equal sets and rows of one id hold together at 100 per cent too; 4 has a set of its own
+    assert got == {(1, 399_999, 1), (2, 399_999, 1), (3, 4, 3), (5, 4, 3), (4, 5, 4)}
+    with pytest.raises(ValueError):
+        jaccard_components(docs, percent=0)
+
+
 def test_jaccard_empty_table_and_nulls(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], DOCS)
