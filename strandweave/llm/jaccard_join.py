@@ -14,7 +14,9 @@ Distances are ``1 - J``, a metric. Equal sets are one class and are joined once.
    sizes within t of each other, and enough shingles behind the shared one.
 3. *Large regions* take ``PIVOTS`` of their documents. All members are measured against
    them (exact intersections); members within ``1 - t`` link to the pivot, so a group of
-   near copies is one component without a pair among them. A region of one component is done.
+   near copies is one component without a pair among them. Then the members nearest to the
+   pivots are pivots too, as a text is nearer to its copies than these are to each other.
+   A region of one component is done.
 4. *Recursion.* What is left of a large region is cut again: each member goes to the cell
    of its nearest pivot document and, inside the triangle window of ``2 (1 - t)``, to those
    of the others; a cell is cut by pivots of one more shingle, ``{s, s'}``, with s' among
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import connected_components, cut, neighbour_labels
@@ -46,8 +49,8 @@ _FLUSH = 1 << 22
 _HOT = 3
 #: A shingle that recurs 2 ** SALT_LEVEL times or more is dealt to several tasks.
 SALT_LEVEL = 12
-#: Classes of a small region, and document pivots of a large one.
-LEAF, PIVOTS = 32, 4
+#: Classes of a small region; document pivots of a large one; turns of choosing hubs, and their number.
+LEAF, PIVOTS, HUBS, OUTSIDE = 32, 4, 2, 8
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -173,13 +176,13 @@ def _small(side: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class."""
-    dealt = rows.repartition("rid", "salt")
-    ends = dealt.groupBy("rid", "salt").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    plain = ends.where("salt = 0 and x0 <> x1").select("rid", "salt")
-    salted = ends.where("salt > 0")
-    frequent = salted.groupBy("rid").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).where("x0 <> x1").select("rid")
-    wide = plain.unionByName(salted.select("rid", "salt").join(frequent, "rid", "left_semi"))
-    return dealt.join(wide, ["rid", "salt"], "left_semi").dropDuplicates(["rid", "salt", "x"]).select("rid", "x", "n", "pos")
+    # a window and not a join back, so that texts are read and rows are dealt once
+    here = W.partitionBy("rid", "salt")
+    ends = rows.withColumns({"x0": F.min("x").over(here), "x1": F.max("x").over(here)}).where("salt > 0 or x0 <> x1")
+    kept = cut(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]))
+    salted = kept.where("salt > 0").groupBy("rid").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).where("x0 <> x1").select("rid")
+    frequent = kept.where("salt > 0").join(salted, "rid", "left_semi")
+    return kept.where("salt = 0").unionByName(frequent).select("rid", "x", "n", "pos")
 
 
 def _sets_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, table) -> DataFrame:
@@ -232,7 +235,35 @@ def _distances(large: DataFrame, pivots: DataFrame, found: DataFrame, labels: Da
     gap = found.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("gap"))
     met = large.join(pivots, "rid").select("rid", "x", "n", "pos", "i", F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
     told = met.join(gap, ["a", "b"], "left").groupBy("rid", "x", "n", "pos").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("gap", F.lit(0.0)).alias("gap")))).alias("told"))
-    return told.join(labels.select(F.col("id").alias("x"), "component"), "x", "left").select("rid", "x", "n", "pos", F.coalesce("component", "x").alias("comp"), F.col("told.gap").alias("d"))
+    return _labelled(told.select("rid", "x", "n", "pos", F.col("told.gap").alias("d")), labels)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of regions of more than one component."""
+    mixed = placed.groupBy("rid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    return placed.join(mixed.select("rid"), "rid", "left_semi")
+
+
+def _mean(d: str) -> Column:
+    return F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / F.size(d)
+
+
+def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): members with the hubs of their region, if not yet connected with these.
+
+    The hubs are the member with the least mean distance to the pivots and, of those outside
+    its component, up to OUTSIDE by hash.
+    """
+    first = cut(placed.groupBy("rid").agg(F.min_by(F.struct("x", "comp"), F.struct(_mean("d"), "x")).alias("hub")))
+    outside = placed.join(first, "rid").where(F.col("comp") != F.col("hub.comp")).drop("hub")
+    least = [F.min_by(F.struct("x", "comp"), F.xxhash64("x", F.lit(-1 - turn * OUTSIDE - i))).alias(f"p{i}") for i in range(OUTSIDE)]
+    second = outside.groupBy("rid").agg(*least).select("rid", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(OUTSIDE)]))).alias("hub"))
+    met = placed.join(first.unionByName(second), "rid").where(F.col("comp") != F.col("hub.comp"))
+    return met.select(F.least("x", "hub.x").alias("a"), F.greatest("x", "hub.x").alias("b")).distinct()
 
 
 def _children(placed: DataFrame, sets: DataFrame, level: int, t: float, eps: float) -> DataFrame:
@@ -290,6 +321,7 @@ def jaccard_components(
     links: DataFrame | None = None
     sets: DataFrame | None = None
     level = 1
+    linked = F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))
     while True:
         counts = alive.groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
         sized = cut(alive.join(counts, "rid"))
@@ -306,21 +338,29 @@ def jaccard_components(
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(large.select("x")).distinct()
             sets = cut(_sets_of(source, rows, wanted, k, table))
         found = cut(_measured(pairs, sets))
-        near = found.where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
+        near = found.where(linked).select("a", "b")
         links = near if links is None else links.unionByName(near)
         if not todo:
             break
         links = cut(links.unionByName(_enough(large, level, t)).distinct())
-        placed = cut(_distances(large, pivots, found, neighbour_labels(links)))
-        mixed = placed.groupBy("rid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).cast("double").alias("c")).where("c0 <> c1").select("rid", "c")
-        placed = placed.join(mixed, "rid", "left_semi")
-        children = cut(_children(placed, sets, level, t, eps))
+        placed = cut(_mixed(_distances(large, pivots, found, neighbour_labels(links))))
+        for turn in range(HUBS):
+            # copies of one text are nearer to it than to each other: whoever is nearest to the pivots may link them
+            more = cut(_to_hubs(placed, turn).join(found, ["a", "b"], "left_anti"))
+            if more.isEmpty():
+                break
+            told = cut(_measured(more, sets))
+            found = found.unionByName(told)
+            links = cut(links.unionByName(told.where(linked).select("a", "b")))
+            placed = cut(_mixed(_labelled(placed.drop("comp"), connected_components(links))))
+        # sets that are much alike share most shingles, so cutting them again would only repeat them
+        spread = placed.groupBy("rid").agg(F.avg(_mean("d")).alias("mean"), F.count(F.lit(1)).cast("double").alias("c"))
+        children = cut(_children(placed.join(spread.where("mean >= 0.5"), "rid", "left_semi"), sets, level, t, eps))
         sizes = cut(children.groupBy("parent", "rid").agg(F.count(F.lit(1)).alias("c")))
         cost = sizes.groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("cost"))
-        cuts = cut(mixed.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c")).alias("cuts")))
+        cuts = cut(spread.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", ((F.col("mean") >= 0.5) & (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c"))).alias("cuts")))
         rest = _candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct().join(found, ["a", "b"], "left_anti")
-        apart = _measured(rest, sets).where(F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter")))
-        links = cut(links.unionByName(apart.select("a", "b")))
+        links = cut(links.unionByName(_measured(rest, sets).where(linked).select("a", "b")))
         again = sizes.where("c > 1").join(cuts.where("cuts").select(F.col("rid").alias("parent")), "parent", "left_semi").select("rid")
         alive = cut(children.join(again, "rid", "left_semi").select("rid", "x", "n", "pos"))
         level += 1
