@@ -47,12 +47,16 @@ ORDER_BITS = 22
 #: Hashes that a task gathers before it reports those that recur, or its regions.
 _FLUSH = 1 << 22
 _HOT = 3
+#: Bits of a set's signature.
+SIGNATURE = 512
 #: A shingle that recurs 2 ** SALT_LEVEL times or more is dealt to several tasks.
 SALT_LEVEL = 12
 #: Classes of a small region; document pivots of a large one; turns of choosing hubs, and their number.
-LEAF, PIVOTS, HUBS, OUTSIDE = 32, 4, 2, 8
+LEAF, PIVOTS, HUBS, OUTSIDE = 32, 4, 2, 3
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Shingles, of 8 bytes, up to which pivots' sets are broadcast.
+BROADCAST_ITEMS = 4_000_000
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
@@ -68,11 +72,16 @@ def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: (uid, n, x, f) of each row of ``docs`` (uid, text), and (h, times) of shingles that recur in a task's share."""
+    """One pass: (uid, n, x, f, sig) of each row of ``docs`` (uid, text), and (h, times) of shingles that recur in a task's share.
+
+    ``sig`` is the parity of a set's shingles in each of SIGNATURE hash buckets: two sets differ
+    in at least as many shingles as their signatures in bits.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["uid", "n", "x", "f", "h", "times"]
+        names = ["uid", "n", "x", "f", "sig", "h", "times"]
         held: list[np.ndarray] = []
+        kind = pa.list_(pa.int64())
 
         def report() -> pa.RecordBatch:
             value = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
@@ -81,19 +90,22 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
             keep = times > 1
             held.clear()
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value[head][keep].view(np.int64)), pa.array(times[keep], pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), kind), pa.array(value[head][keep].view(np.int64)), pa.array(times[keep], pa.int64())], names=names)
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                _, value, n, x, f = _sets(part, k)
+                doc, value, n, x, f = _sets(part, k)
+                odd = np.bincount(doc * SIGNATURE + (value & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=part.num_rows * SIGNATURE) & 1
+                words = np.packbits(odd.astype(bool)).view(np.int64)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * (SIGNATURE // 64), pa.int32()), pa.array(words))
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n, pa.int64()), pa.array(x), pa.array(f), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n, pa.int64()), pa.array(x), pa.array(f), sig, none, none], names=names)
                 held.append(value)
                 if sum(map(len, held)) > _FLUSH:
                     yield report()
         yield report()
 
-    return docs.select("uid", "text").mapInArrow(read, "uid long, n long, x long, f long, h long, times long")
+    return docs.select("uid", "text").mapInArrow(read, "uid long, n long, x long, f long, sig array<long>, h long, times long")
 
 
 def _levels(recurring: DataFrame) -> np.ndarray:
@@ -175,14 +187,17 @@ def _small(side: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class."""
+    """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class, with ``c``, the region's classes."""
     # a window and not a join back, so that texts are read and rows are dealt once
     here = W.partitionBy("rid", "salt")
     ends = rows.withColumns({"x0": F.min("x").over(here), "x1": F.max("x").over(here)}).where("salt > 0 or x0 <> x1")
-    kept = cut(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]))
-    salted = kept.where("salt > 0").groupBy("rid").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).where("x0 <> x1").select("rid")
-    frequent = kept.where("salt > 0").join(salted, "rid", "left_semi")
-    return kept.where("salt = 0").unionByName(frequent).select("rid", "x", "n", "pos")
+    kept = cut(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]).withColumn("c", F.count(F.lit(1)).over(here)))
+    plain = kept.where("salt = 0").drop("salt")
+    salted = kept.where("salt > 0")
+    if salted.isEmpty():
+        return plain
+    frequent = salted.groupBy("rid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("c")).where("x0 <> x1").select("rid", "c")
+    return cut(plain.unionByName(salted.drop("salt", "c").join(frequent, "rid")))
 
 
 def _sets_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, table) -> DataFrame:
@@ -190,7 +205,8 @@ def _sets_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, tabl
     wanted = cut(wanted)
     ids = cut(rows.where("uid is not null").join(wanted, "x", "left_semi").groupBy("x").agg(F.min("uid").alias("uid")).select("uid").distinct())
     # rows that share an id may have other sets: those not wanted go
-    return _whole_sets(source.join(_small(ids), "uid", "left_semi"), k, table).join(_small(wanted), "x", "left_semi").dropDuplicates(["x"])
+    found = cut(_whole_sets(source.join(_small(ids), "uid", "left_semi"), k, table).join(_small(wanted), "x", "left_semi"))
+    return cut(found.dropDuplicates(["x"])) if found.count() > wanted.count() else found
 
 
 def _needed(na: Column, nb: Column, t: float) -> Column:
@@ -215,6 +231,17 @@ def _candidates(rows: DataFrame, level: int, t: float, eps: float | None = None)
     return met.select(F.col("x1").alias("a"), F.col("x2").alias("b"))
 
 
+def _alike(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
+    """``pairs`` whose signatures don't differ in more bits than linked sets could in shingles."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    known = cut(signatures.join(_small(ends), "x", "left_semi").dropDuplicates(["x"]))
+    known = _small(known)
+    one, two = (known.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in ("a", "b"))
+    bits = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(bits <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), t)).select("a", "b")
+
+
 def _pivots(large: DataFrame, level: int) -> DataFrame:
     """(rid, i, p): up to PIVOTS documents of each region, the least by so many hashes."""
     least = [F.min_by("x", F.xxhash64("x", F.lit(level * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
@@ -222,14 +249,33 @@ def _pivots(large: DataFrame, level: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, na, nb) of distinct pairs."""
-    left = sets.select(F.col("x").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("x").alias("b"), F.col("items").alias("ib"))
-    return pairs.join(left, "a").join(right, "b").select(
+    """(a, b, inter, na, nb) of distinct pairs, which are written already. Only sets that they name are shuffled."""
+
+    def of(side: str) -> DataFrame:
+        named = pairs.select(F.col(side).alias("x")).distinct()
+        return sets.join(_small(named), "x", "left_semi").select(F.col("x").alias(side), F.col("items").alias(f"i{side}"))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(
         "a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"), F.size("ia").cast("long").alias("na"), F.size("ib").cast("long").alias("nb")
     )
 
 
+def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """:func:`_measured` of (x, p) with few distinct p: their sets are broadcast if they are small together, so a popular pivot is no hot key."""
+    ends = pairs.select("x", "p", F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+    named = pairs.select(F.col("p").alias("x")).distinct()
+    if not named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return _measured(ends.select("a", "b").distinct(), sets)
+    held = cut(sets.join(F.broadcast(named), "x", "left_semi"))
+    if (held.agg(F.sum(F.size("items"))).first()[0] or 0) > BROADCAST_ITEMS:
+        return _measured(cut(ends.select("a", "b").distinct()), sets)
+    members = sets.join(_small(pairs.select("x").distinct()), "x", "left_semi").select("x", F.col("items").alias("ix"))
+    pivot = F.broadcast(held.select(F.col("x").alias("p"), F.col("items").alias("ip")))
+    met = ends.dropDuplicates(["a", "b"]).join(members, "x").join(pivot, "p")
+    size = lambda end, other: F.when(F.col("x") == F.col(end), F.size("ix")).otherwise(F.size("ip")).cast("long").alias(other)
+    return met.select("a", "b", F.size(F.array_intersect("ix", "ip")).cast("long").alias("inter"), size("a", "na"), size("b", "nb"))
+
+
 def _distances(large: DataFrame, pivots: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
     """``large`` with ``d``, each member's distances to its region's pivots, and ``comp``, its component so far."""
     gap = found.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("gap"))
@@ -253,7 +299,7 @@ def _mean(d: str) -> Column:
 
 
 def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): members with the hubs of their region, if not yet connected with these.
+    """(x, p): members with the hubs of their region, if not yet connected with these.
 
     The hubs are the member with the least mean distance to the pivots and, of those outside
     its component, up to OUTSIDE by hash.
@@ -263,7 +309,7 @@ def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
     least = [F.min_by(F.struct("x", "comp"), F.xxhash64("x", F.lit(-1 - turn * OUTSIDE - i))).alias(f"p{i}") for i in range(OUTSIDE)]
     second = outside.groupBy("rid").agg(*least).select("rid", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(OUTSIDE)]))).alias("hub"))
     met = placed.join(first.unionByName(second), "rid").where(F.col("comp") != F.col("hub.comp"))
-    return met.select(F.least("x", "hub.x").alias("a"), F.greatest("x", "hub.x").alias("b")).distinct()
+    return met.select("x", F.col("hub.x").alias("p")).distinct()
 
 
 def _children(placed: DataFrame, sets: DataFrame, level: int, t: float, eps: float) -> DataFrame:
@@ -317,27 +363,25 @@ def jaccard_components(
     classes = filled.groupBy("x", "f").agg(F.min("uid").alias("class_id"))
     same_id = filled.join(classes, ["x", "f"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
 
-    alive = cut(_shared(_first_regions(source, k, t, table)))
+    signatures = survey.where("h is null and n > 0").select("x", "n", "sig")
+    sized = _shared(_first_regions(source, k, t, table))
     links: DataFrame | None = None
     sets: DataFrame | None = None
     level = 1
     linked = F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))
     while True:
-        counts = alive.groupBy("rid").agg(F.count(F.lit(1)).alias("c"))
-        sized = cut(alive.join(counts, "rid"))
         large = sized.where(F.col("c") > leaf).drop("c")
-        pairs = _candidates(sized.where(F.col("c") <= leaf), level, t)
+        pairs = cut(_alike(_candidates(sized.where(F.col("c") <= leaf), level, t).distinct(), signatures, t))
         todo = large.limit(1).count() > 0
         if todo:
             pivots = cut(_pivots(large, level))
-            to = large.join(pivots, "rid").where("x <> p").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
-            pairs = pairs.unionByName(to)
-        pairs = cut(pairs.distinct())
+            to = cut(large.join(pivots, "rid").where("x <> p").select("x", "p").distinct())
         if sets is None:
             # all that later levels need: they only cut these regions again
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(large.select("x")).distinct()
-            sets = cut(_sets_of(source, rows, wanted, k, table))
-        found = cut(_measured(pairs, sets))
+            sets = _sets_of(source, rows, wanted, k, table)
+        found = _measured(pairs, sets)
+        found = cut(found.unionByName(_to_pivots(to, sets)) if todo else found)
         near = found.where(linked).select("a", "b")
         links = near if links is None else links.unionByName(near)
         if not todo:
@@ -346,10 +390,11 @@ def jaccard_components(
         placed = cut(_mixed(_distances(large, pivots, found, neighbour_labels(links))))
         for turn in range(HUBS):
             # copies of one text are nearer to it than to each other: whoever is nearest to the pivots may link them
-            more = cut(_to_hubs(placed, turn).join(found, ["a", "b"], "left_anti"))
+            more = _to_hubs(placed, turn)
+            more = cut(more.join(found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("p")), F.struct(F.col("b").alias("x"), F.col("a").alias("p")))).alias("q")).select("q.*"), ["x", "p"], "left_anti"))
             if more.isEmpty():
                 break
-            told = cut(_measured(more, sets))
+            told = cut(_to_pivots(more, sets))
             found = found.unionByName(told)
             links = cut(links.unionByName(told.where(linked).select("a", "b")))
             placed = cut(_mixed(_labelled(placed.drop("comp"), connected_components(links))))
@@ -359,10 +404,10 @@ def jaccard_components(
         sizes = cut(children.groupBy("parent", "rid").agg(F.count(F.lit(1)).alias("c")))
         cost = sizes.groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("cost"))
         cuts = cut(spread.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", ((F.col("mean") >= 0.5) & (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c"))).alias("cuts")))
-        rest = _candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct().join(found, ["a", "b"], "left_anti")
+        rest = cut(_alike(_candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct(), signatures, t).join(found, ["a", "b"], "left_anti"))
         links = cut(links.unionByName(_measured(rest, sets).where(linked).select("a", "b")))
-        again = sizes.where("c > 1").join(cuts.where("cuts").select(F.col("rid").alias("parent")), "parent", "left_semi").select("rid")
-        alive = cut(children.join(again, "rid", "left_semi").select("rid", "x", "n", "pos"))
+        again = sizes.where("c > 1").join(cuts.where("cuts").select(F.col("rid").alias("parent")), "parent", "left_semi").select("rid", "c")
+        sized = cut(children.join(again, "rid").select("rid", "x", "n", "pos", "c"))
         level += 1
     links = cut(links)
     # from nodes to ids: a node stands for its class's least id
