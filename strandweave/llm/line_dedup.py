@@ -1,26 +1,27 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines are normalised (lower case, digits to 0, tabs and carriage returns to blanks,
-trimmed). A line is removed if an earlier one, by (doc_id, line number) over the whole table,
-is equal to it, for lines of ``min_equal`` characters or more (``min_chars`` if None), or
-within ``threshold`` edits, for those of ``min_chars`` or more. Shorter lines always stay, so
-with ``min_equal`` = 1 equal lines of any length go but blank ones.
-
-Equal lines are one class. A class's line of length l is cut into ``threshold + 1`` even
-segments; two lines within the threshold share one of the shorter one's segments, at a
-shift that the lengths bound. So each line is indexed by its segments and probes those of
-every shorter length in reach. Candidates are verified by a banded bit-parallel edit
-distance: bit d of register e says whether diagonal d is reached with e edits.
-
-A segment that more than ``HOT`` lines share is not joined as it stands. At threshold 1 the
-other segment is cut into pieces of ``PIECE`` characters and the key becomes everything but
-one piece; if that is hot too, everything but one character, where all lines of a key are
-within one edit and link to the first of them. Each step is linear in the group and loses
-no link. At other thresholds hot segments are joined directly: exact, but slower.
-
-Null texts stay null, empty ones empty. Rows that share an id share their rank, and equal
-lines at one place of them are one occurrence. A null id ranks last. Other columns pass
-through, whatever their names (the operator's own begin with two underscores).
+trimmed); blank ones always stay. A line is removed if an earlier one, by (doc_id, line
+number) over the whole table, is equal to it, or is within as many edits as the shorter of
+the two allows: one for every ``per_edit`` characters, ``threshold`` at most.
+
+Equal lines are one class. A line of length l that allows k edits is cut into ``k + 1`` even
+segments; two lines within k share one of the shorter one's segments, at a shift that the
+lengths bound. So each line is indexed by its segments and probes those of every shorter
+length in reach. Candidates are verified by a banded bit-parallel edit distance: bit d of
+register e says whether diagonal d is reached with e edits.
+
+A segment that more than ``hot`` lines share is not joined as it stands. All its lines are
+compared with the earliest of them, which settles those that it is near to; the rest is cut
+again, in the longer of the parts that the shared segment leaves open: these hold at most k
+edits too, so the same partition and shifts apply. This goes on until a group is small or
+nothing is left open, each step linear in the group.
+
+Null texts stay null, empty ones empty, an empty table gives an empty result. Rows that are
+equal in id and text are one document; other rows that share an id share their rank, and
+equal lines at one place of them are one occurrence. A null id ranks last. Other columns
+pass through, whatever their names; if one is called ``removed_lines`` the result's gets
+underscores behind its name.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.graph import cut
-
-MIN_CHARS, THRESHOLD, HOT, PIECE = 64, 1, 64, 8
+from strandweave.llm.graph import cut, free_name
 
+THRESHOLD, PER_EDIT, HOT, PIECE = 1, 20, 64, 8
 
 #: White space that trimming takes and blanks replace.
 _EDGE = " \t\r"
@@ -45,9 +45,8 @@ def normalise(line: Column) -> Column:
     return F.when(low.rlike(r"[1-9\t\r]"), F.translate(low, "123456789\t\r", "000000000  ")).otherwise(low)
 
 
-def _small(side: DataFrame) -> DataFrame:
-    """A checkpointed side with a broadcast hint if its rows are few."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+def _few(side: DataFrame) -> bool:
+    return side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -93,145 +92,188 @@ def _rank(id_col: str, pos: str) -> Column:
     return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(12,0)") + F.col(pos)).cast("decimal(38,0)")
 
 
+def _allowed(length: Column, threshold: int, per_edit: int) -> Column:
+    return F.least(F.lit(threshold), F.floor(length / per_edit).cast("int"))
+
+
 def _cuts(length: Column, i: int, parts: int) -> Column:
     return F.floor(length * i / parts).cast("int")
 
 
-def _layout(k: int) -> list[tuple[int, int, int]]:
-    """(characters less, segment, shift) of each of a line's keys, in order."""
-    return [(less, i, shift) for less in range(k + 1) for i in range(k + 1) for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
+def _layout(threshold: int) -> list[tuple[int, int, int, int]]:
+    """(edits, characters less, segment, shift) of each of a line's keys, in order."""
+    return [(k, less, i, shift) for k in range(1, threshold + 1) for less in range(k + 1) for i in range(k + 1) for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
 
 
-def _keys(norm: Column, k: int) -> Column:
-    """Index keys of a line's own segments and probe keys of shorter lengths', as ``_layout`` has them."""
+def _keys(norm: Column, threshold: int, per_edit: int) -> list[Column]:
+    """Index keys of a line's own segments and probe keys of shorter lengths', as ``_layout`` has them; null where that length allows other edits."""
     out = []
-    for less, i, shift in _layout(k):
+    for k, less, i, shift in _layout(threshold):
         short = F.length(norm) - less
         start = _cuts(short, i, k + 1)
-        out.append(F.xxhash64(F.lit(i), short, norm.substr(start + shift + 1, _cuts(short, i + 1, k + 1) - start)))
-    return F.array(*out)
+        key = F.xxhash64(F.lit(i), short, norm.substr(start + shift + 1, _cuts(short, i + 1, k + 1) - start))
+        out.append(F.when(_allowed(short, threshold, per_edit) == k, key))
+    return out
+
+
+def _met(early: DataFrame, late: DataFrame) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of a key, an earlier line a and a later, unsettled line b; at least one is indexed."""
+    one = early.select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("rank").alias("ra"), F.col("probe").alias("pa"))
+    two = late.where("open").select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("rank").alias("rb"), F.col("probe").alias("pb"))
+    return one.join(two, "key").where("ra < rb and not (pa and pb)").select("a1", "a2", "b1", "b2")
+
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` of keys that hold an indexed line and an unsettled one that isn't alone, with ``n``."""
+    dealt = rows.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("probes"), F.max("open").alias("some"), F.min("rank").alias("r0"), F.max("rank").alias("r1"))
+    return dealt.join(sizes.where("r0 <> r1 and not probes and some").select("key", "n"), "key")
 
-def near_earlier(distinct: DataFrame, texts, threshold: int, hot: int = HOT) -> DataFrame:
-    """(h1, h2) of lines that have an earlier one within ``threshold`` edits.
 
-    ``distinct`` has (h1, h2, rank, keys); ``texts(wanted)`` gives (h1, h2, norm) of wanted lines.
+def near_earlier(classes: DataFrame, texts, threshold: int, per_edit: int = PER_EDIT, hot: int = HOT) -> DataFrame:
+    """(h1, h2) of lines that have an earlier one within their edits.
+
+    ``classes`` has (h1, h2, rank, k0, k1, ...); ``texts(wanted)`` gives (h1, h2, norm) of wanted lines.
     """
     layout = _layout(threshold)
     told = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("i") + 1)
-    placed = distinct.select("h1", "h2", "rank", F.posexplode("keys").alias("i", "key")).select(
-        "key", told([less > 0 or shift != 0 for less, _, shift in layout]).alias("probe"), told([i for _, i, _ in layout]).alias("seg"), told([less for less, _, _ in layout]).alias("less"), "h1", "h2", "rank"
-    ).repartition("key")
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("all_probe")).where("n > 1 and not all_probe").select("key", "n")
-    shared = cut(placed.join(sizes, "key"))
+    keys = F.posexplode(F.array(*[F.col(f"k{j}") for j in range(len(layout))])).alias("i", "key")
+    spread = classes.select("h1", "h2", "rank", keys).where("key is not null")
+    placed = spread.select("key", told([less > 0 or shift != 0 for _, less, _, shift in layout]).alias("probe"), F.col("i").cast("tinyint").alias("i"), "h1", "h2", "rank", F.lit(True).alias("open"))
+    shared = cut(_grouped(placed))
     lines = cut(texts(shared.select("h1", "h2").distinct()))
-    cold = shared if threshold != 1 else shared.where(F.col("n") <= hot)
-    pairs = _pairs(cold, ["key"])
-    links = None
-    if threshold == 1:
-        warm = shared.where(F.col("n") > hot).join(lines, ["h1", "h2"])
-        short = F.length("norm") - F.col("less")
-        half = _cuts(short, 1, 2)
-        open_size = F.when(F.col("seg") == 0, short - half).otherwise(half)
-        # the open part: what the shared segment leaves, one character longer on a probe's side
-        rest = F.when(F.col("seg") == 0, F.col("norm").substr(half + 1, F.length("norm"))).otherwise(F.col("norm").substr(F.lit(1), half + F.col("less")))
-        opened = warm.select("key", "probe", "less", "h1", "h2", "rank", rest.alias("rest"), open_size.alias("o"))
-        pieces = opened.withColumn("m", F.explode(F.expr(f"sequence(0, greatest(0, (o - 1) div {PIECE}))")))
-        tail = F.greatest(F.col("o") - (F.col("m") + 1) * PIECE, F.lit(0))
-        piece = F.col("rest").substr(F.col("m") * PIECE + 1, F.length("rest") - F.col("m") * PIECE - tail)
-        key2 = F.xxhash64("key", "m", F.col("rest").substr(F.lit(1), F.col("m") * PIECE), F.col("rest").substr(F.length("rest") - tail + 1, tail))
-        fine = pieces.select(key2.alias("key2"), piece.alias("piece"), "probe", "h1", "h2", "rank").repartition("key2")
-        n2 = fine.groupBy("key2").agg(F.count(F.lit(1)).alias("n2"), F.min("probe").alias("p")).where("n2 > 1 and not p").select("key2", "n2")
-        fine = cut(fine.join(n2, "key2"))
-        pairs = pairs.unionByName(_pairs(fine.where(F.col("n2") <= hot), ["key2"]))
-        dense = fine.where(F.col("n2") > hot)
-        at = F.explode(F.expr("sequence(0, length(piece))"))
-        drop = F.concat(F.col("piece").substr(F.lit(1), F.col("c")), F.col("piece").substr(F.col("c") + 2, F.length("piece")))
-        swapped = dense.where("not probe").withColumn("c", at).where("c < length(piece)").select(F.xxhash64(F.lit("s"), "key2", "c", drop).alias("key3"), "h1", "h2", "rank")
-        whole = dense.where("not probe").select(F.xxhash64(F.lit("i"), "key2", "piece").alias("key3"), "h1", "h2", "rank")
-        gone = dense.where("probe").withColumn("c", at).where("c < length(piece)").select(F.xxhash64(F.lit("i"), "key2", drop).alias("key3"), "h1", "h2", "rank")
-        # an insertion's key holds one shorter line and its longer neighbours, each within one edit of it
-        stars = swapped.groupBy("key3").agg(F.min("rank").alias("least")).where("least is not null")
-        links = swapped.join(stars, "key3").where("rank > least").select("h1", "h2")
-        ends = whole.select("key3", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("rank").alias("ra"))
-        both = gone.join(ends, "key3").select(F.when(F.col("rank") > F.col("ra"), F.struct("h1", "h2")).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"))).alias("t"))
-        links = links.unionByName(both.select("t.h1", "t.h2"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(_near(pairs.distinct(), lines, threshold, per_edit))
+
+    found = verified(_met(*[shared.where(F.col("n") <= hot)] * 2))
+    group = shared.where(F.col("n") > hot)
+    if group.isEmpty():
+        return found.distinct()
+    # the part that the shared segment leaves open: its length on the shorter side, and what a probe's has more
+    edits, less, seg, shift = (told([t[j] for t in layout]) for j in range(4))
+    opened = group.join(lines, ["h1", "h2"]).withColumns({"k": edits, "less": less, "seg": seg, "shift": shift})
+    short = F.length("norm") - F.col("less")
+    opened = opened.withColumns({"from": F.floor(short * F.col("seg") / (F.col("k") + 1)).cast("int"), "to": F.floor(short * (F.col("seg") + 1) / (F.col("k") + 1)).cast("int"), "size": short})
+    rows = _rest(opened.withColumns({"text": F.col("norm"), "more": F.col("less")}))
+    while True:
+        rows = cut(rows)
+        # all against the earliest line, indexed or the first of those that probe
+        first = rows.groupBy("key").agg(F.min_by(F.struct("h1", "h2", "rank", "probe"), F.col("rank")).alias("f"))
+        heads = first.select("key", "f.h1", "f.h2", "f.rank", "f.probe")
+        index = rows.where("not probe").groupBy("key").agg(F.min_by(F.struct("h1", "h2", "rank", "probe"), F.col("rank")).alias("f")).select("key", "f.h1", "f.h2", "f.rank", "f.probe")
+        settled = verified(_met(heads.unionByName(index), rows))
+        found = found.unionByName(settled)
+        rows = rows.drop("open").join(settled.distinct().withColumn("settled", F.lit(True)), ["h1", "h2"], "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+        closed = F.col("size") <= F.col("k") + 1
+        finer = cut(_grouped(_finer(rows.where(~closed), threshold)))
+        found = found.unionByName(verified(_met(*[_grouped(rows.where(closed).select("key", "probe", "h1", "h2", "rank", "open"))] * 2).unionByName(_met(*[finer.where(F.col("n") <= hot)] * 2))))
+        rows = _rest(finer.where(F.col("n") > hot))
+        if finer.where(F.col("n") > hot).isEmpty():
+            return found.distinct()
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """(key, probe, k, size, more, text, ...): of a row's text the longer part before or after [from, to), as the shorter line has it."""
+    left = F.col("from") >= F.col("size") - F.col("to")
+    text = F.when(left, F.substring("text", F.lit(1), F.col("from") + F.col("shift"))).otherwise(F.substring("text", F.col("to") + F.col("shift") + 1, F.length("text")))
+    return rows.select(
+        "key", "probe", "k", "h1", "h2", "rank", "open",
+        F.when(left, F.col("from")).otherwise(F.col("size") - F.col("to")).cast("int").alias("size"),
+        F.when(left, F.col("shift")).otherwise(F.col("more") - F.col("shift")).alias("more"),
+        text.alias("text"),
+    )
+
+
+def _finer(rows: DataFrame, threshold: int) -> DataFrame:
+    """Rows by key and segment of the open part, with the segment's bounds on the shorter side and its shift."""
+    choices = [F.struct(F.lit(k).alias("k"), F.lit(i).alias("seg"), F.lit(s).alias("shift")) for k in range(1, threshold + 1) for i in range(k + 1) for s in range(-k, k + 1)]
+    fits = lambda c: (c["k"] == F.col("k")) & (c["shift"] >= F.greatest(-c["seg"], F.col("more") - (c["k"] - c["seg"]))) & (c["shift"] <= F.least(c["seg"], F.col("more") + (c["k"] - c["seg"])))
+    cells = rows.withColumn("cell", F.explode(F.filter(F.array(*choices), fits))).withColumns({"seg": F.col("cell.seg"), "shift": F.col("cell.shift")}).drop("cell")
+    cells = cells.withColumns({"from": F.floor(F.col("size") * F.col("seg") / (F.col("k") + 1)).cast("int"), "to": F.floor(F.col("size") * (F.col("seg") + 1) / (F.col("k") + 1)).cast("int")})
+    piece = F.substring("text", F.col("from") + F.col("shift") + 1, F.col("to") - F.col("from"))
+    return cells.withColumns({"key": F.xxhash64("key", "seg", piece), "probe": F.col("probe") | (F.col("shift") != 0)})
+
+
+def _near(pairs: DataFrame, lines: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """(h1, h2) of the later lines of pairs that are within the shorter one's edits."""
     one = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("norm").alias("na"))
     two = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("nb"))
-    # written between steps: one nested expression of all of them takes the planner minutes
-    met = cut(pairs.distinct().join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).select("b1", "b2", "na", "nb"))
-    checked = _trimmed(met, threshold).where(within_edits(F.col("ta"), F.col("tb"), threshold))
-    found = checked.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
-    return (found if links is None else found.unionByName(links)).distinct()
+    met = pairs.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).withColumn("k", _allowed(F.least(F.length("na"), F.length("nb")), threshold, per_edit))
+    checked = _trimmed(met.where(F.abs(F.length("na") - F.length("nb")) <= F.col("k")))
+    near = F.lit(False)
+    for k in range(1, threshold + 1):
+        near = F.when(F.col("k") == k, within_edits(F.col("ta"), F.col("tb"), k)).otherwise(near)
+    return checked.where(near).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
 
 
-def _trimmed(met: DataFrame, k: int) -> DataFrame:
+def _trimmed(met: DataFrame) -> DataFrame:
     """Pairs with ``ta`` and ``tb``: their texts without equal blocks of PIECE characters at both ends.
 
     Equal ends don't change the distance. With one edit at most, what is left spans the blocks
-    at the edit, so longer rests are no links.
+    at the edit, so longer rests are no links. Written between steps: one nested expression of
+    all of them takes the planner minutes.
     """
     blocks = F.expr(f"sequence(0, least(length(na), length(nb)) div {PIECE})")
     differs = F.transform(blocks, lambda i: F.col("na").substr(i * PIECE + 1, F.lit(PIECE)) != F.col("nb").substr(i * PIECE + 1, F.lit(PIECE)))
     head = F.array_position(differs, True) - 1
     begun = met.withColumn("p", F.when(head < 0, F.least(F.length("na"), F.length("nb"))).otherwise(head * PIECE).cast("int"))
     begun = begun.withColumns({"ra": F.col("na").substr(F.col("p") + 1, F.length("na")), "rb": F.col("nb").substr(F.col("p") + 1, F.length("nb"))})
-    begun = cut(begun.select("b1", "b2", "ra", "rb"))
+    begun = cut(begun.select("b1", "b2", "k", "ra", "rb"))
     room = F.expr(f"least(length(ra), length(rb)) div {PIECE}")
     back = F.transform(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.col("ra").substr(F.length("ra") - i * PIECE + 1, F.lit(PIECE)) != F.col("rb").substr(F.length("rb") - i * PIECE + 1, F.lit(PIECE)))
     tail = F.array_position(back, True) - 1
     ended = begun.withColumn("q", F.when(room == 0, F.lit(0)).when(tail < 0, room * PIECE).otherwise(tail * PIECE).cast("int"))
     out = ended.withColumns({"ta": F.col("ra").substr(F.lit(1), F.length("ra") - F.col("q")), "tb": F.col("rb").substr(F.lit(1), F.length("rb") - F.col("q"))})
-    out = cut(out.select("b1", "b2", "ta", "tb"))
-    return out.where(F.greatest(F.length("ta"), F.length("tb")) <= 2 * PIECE + 1) if k == 1 else out
+    out = cut(out.select("b1", "b2", "k", "ta", "tb"))
+    return out.where((F.col("k") > 1) | (F.greatest(F.length("ta"), F.length("tb")) <= 2 * PIECE + 1))
+
+
+def _without(text: Column, numbers: Column) -> Column:
+    """``text`` without the lines of these sorted numbers, from 0.
+
+    The numbers become a mask, a byte a line, which a line looks its own up in: all linear.
+    Text and mask are bound once, as an expression inside a lambda is computed again for
+    every line.
+    """
 
+    def upto(i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(numbers, i - 1))
+        return F.concat(F.repeat(F.lit("-"), F.get(numbers, i) - before - 1), F.lit("x"))
 
-def _pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a earlier, b later) of an index line with other lines of its key; keys are bounded by HOT."""
-    one = rows.where("not probe").select(*key, F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("rank").alias("rx"))
-    two = rows.select(*key, "probe", F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("rank").alias("ry"))
-    met = one.join(two, key).where((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2"))).where(F.col("probe") | (F.col("rx") < F.col("ry")))
-    early = F.col("rx") < F.col("ry")
-    pick = lambda p, q: F.when(early, F.col(p)).otherwise(F.col(q))
-    return met.select(pick("x1", "y1").alias("a1"), pick("x2", "y2").alias("a2"), pick("y1", "x1").alias("b1"), pick("y2", "x2").alias("b2"))
+    mask = F.array_join(F.transform(F.sequence(F.lit(0), F.size(numbers) - 1), upto), "").cast("binary")
+    bound = F.array(F.struct(F.split(text, "\n").alias("l"), mask.alias("m")))
+    kept = F.transform(bound, lambda s: F.array_join(F.filter(s["l"], lambda _, i: F.substr(s["m"], i + 1, F.lit(1)) != F.lit(b"x")), "\n"))
+    return F.get(kept, F.lit(0))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", min_equal: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed lines cut from the text, and ``removed_lines``, their numbers from 0."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    least = min_chars if min_equal is None else min(min_equal, min_chars)
-    normal = source.where((F.length("line") >= least) & (F.length(F.btrim("line", F.lit(_EDGE))) >= least)).select("doc_id", "pos", normalise(F.col("line")).alias("norm"))
-    hashed = normal.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
-    # short lines meet their equals only: they have no keys for the edit join
-    keys = _keys(F.col("norm"), threshold)
-    keys = keys if least == min_chars else F.when(F.length("norm") >= min_chars, keys)
-    lines = cut(hashed.select("doc_id", "pos", "h1", "h2", keys.alias("keys")))
-    ranked = lines.select("h1", "h2", _rank("doc_id", "pos").alias("rank"))
-    first = ranked.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
-    distinct = lines.where("keys is not null").withColumn("rank", _rank("doc_id", "pos")).join(first.select("h1", "h2", "rank"), ["h1", "h2", "rank"]).dropDuplicates(["h1", "h2"])
+    text, out = F.col(text_col).cast("string"), free_name(docs, "removed_lines")
+    row = F.xxhash64(F.col(id_col).cast("long"), text)
+    source = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    normal = source.select("row", _rank("doc_id", "pos").alias("rank"), "pos", normalise(F.col("line")).alias("norm")).where("norm <> ''")
+    keys = [key.alias(f"k{j}") for j, key in enumerate(_keys(F.col("norm"), threshold, per_edit))]
+    lines = cut(normal.select("row", "pos", "rank", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), *keys))
+    names = [f"k{j}" for j in range(len(keys))]
+    classes = cut(lines.groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"), *[F.min(c).alias(c) for c in names]))
 
     def texts(wanted: DataFrame) -> DataFrame:
         # a line's text is read where it comes first, from the documents that hold such lines only
-        places = cut(distinct.join(wanted, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("places")))
-        held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
-        met = held.join(_small(places).withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
-        found = met.select("parts", F.explode("places").alias("p")).select(F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), normalise(F.get("parts", F.col("p.pos"))).alias("norm"))
-        # rows that share an id may have another line at the place
-        return found.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64(F.lit(1), "norm") == F.col("h2"))).dropDuplicates(["h1", "h2"])
-
-    near = near_earlier(distinct, texts, threshold, hot).withColumn("near", F.lit(True))
-    verdict = first.join(near, ["h1", "h2"], "left").where("near or rank <> last").select("h1", "h2", F.when(~F.coalesce("near", F.lit(False)), F.col("rank")).alias("keep"))
-    removed = (
-        lines.select("doc_id", "pos", "h1", "h2")
-        .join(verdict, ["h1", "h2"])
-        .where(~F.coalesce(F.col("keep") == _rank("doc_id", "pos"), F.lit(False)))
-        .groupBy(F.col("doc_id").alias("__of"))
-        .agg(F.collect_set(F.struct("pos", "h1")).alias("__removed"))
-    )
-    # rows that share an id may differ in text, so a line is known by its number and its hash
-    joined = docs.withColumn("__id", F.col(id_col).cast("long")).join(removed, F.col("__id").eqNullSafe(F.col("__of")), "left").drop("__id", "__of")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    gone = F.coalesce(F.col("__removed"), F.array().cast("array<struct<pos:int,h1:bigint>>"))
-    mine = F.filter(F.transform(gone, lambda g: F.when(F.xxhash64(normalise(F.get(parts, g["pos"]))) == g["h1"], g["pos"])), lambda p: p.isNotNull())
-    kept = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed_lines"), i)), "\n"))
-    return joined.withColumn("removed_lines", F.when(F.col(text_col).isNull(), F.array().cast("array<int>")).otherwise(F.array_sort(mine))).withColumn(text_col, kept).drop("__removed")
+        places = cut(lines.join(classes.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "rank"), ["h1", "h2", "rank"], "left_semi").select("row", "pos", "h1", "h2"))
+        by_row = places.groupBy("row").agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("places"))
+        held = docs.select(row.alias("row"), F.split(text, "\n").alias("parts")).join(F.broadcast(by_row) if _few(places) else by_row, "row")
+        found = held.select("parts", F.explode("places").alias("p")).select(F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), normalise(F.get("parts", F.col("p.pos"))).alias("norm"))
+        return found.dropDuplicates(["h1", "h2"])
+
+    verdict = classes.where("rank <> last").select("h1", "h2", F.col("rank").alias("keep"))
+    if threshold:
+        near = near_earlier(classes, texts, threshold, per_edit, hot).withColumn("near", F.lit(True))
+        verdict = verdict.join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.when(F.col("near").isNull(), F.col("keep")).alias("keep"))
+    verdict = cut(verdict)
+    gone = lines.select("row", "pos", "rank", "h1", "h2").join(F.broadcast(verdict) if _few(verdict) else verdict, ["h1", "h2"]).where("keep is null or keep <> rank")
+    mine, of, found = (free_name(docs, c) for c in ("__row", "__of", "__removed"))
+    removed = gone.groupBy(F.col("row").alias(of)).agg(F.sort_array(F.collect_set("pos")).alias(found))
+    joined = docs.withColumn(mine, row).join(removed, F.col(mine) == F.col(of), "left").drop(mine, of)
+    kept = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(_without(text, F.col(found)))
+    return joined.withColumn(text_col, kept).withColumn(out, F.coalesce(found, F.array().cast("array<int>"))).drop(found)

@@ -1,168 +1,172 @@
-"""Substring dedup by unit hashing: repeated passages are removed, original offsets retained.
-
-Units are lines and, within a line, sentences (cut after ``.``, ``!`` or ``?`` and white
-space). Besides, windows of ``WINDOW`` words are taken from the whole text's words, across
-lines: the one whose hash is least of each ``STEP`` in a row. So two passages that share
-WINDOW + STEP - 1 = 50 words share a window, wherever these stand, and the windows of a
-longer passage leave no word out but up to STEP - 1 at either end. Each unit and window is
-normalised (white space to single blanks, trimmed, lower case) and hashed to 128 bits. A
-digest's occurrences are ranked by (doc_id, offset) over the whole table; the first is kept.
-Repeated units and windows that follow each other or overlap form a passage, and a passage
-of ``min_words`` words or more is removed. Of shorter ones, such as a stock phrase on its
-own, only whole lines that repeat are removed.
-
-Null ids rank last. Rows with one id are one document for ranking: a unit at the same
-offset of two of them is one occurrence. Null, empty and wordless texts have no units and
-no passages. Other columns are kept by :func:`remove_repeats`, whatever their names.
+"""Substring dedup by unit hashing: repeated lines and passages are removed, original offsets retained.
+
+Units are lines. Besides, windows of ``WINDOW`` words are taken from the whole text's words,
+across lines: those whose hash is the least of some ``STEP`` in a row. So two passages that
+share WINDOW + STEP - 1 = 50 words share a window, wherever these stand in long or
+differently broken lines, and the windows of a longer passage leave no word out but up to
+STEP - 1 at either end.
+
+Words are runs of bytes that aren't ASCII white space, A-Z lower-cased; a unit is its
+sequence of words, hashed to 128 bits. A digest's occurrences are ranked by (doc_id, offset)
+over the whole table; the first is kept, every later one removed, whatever its length.
+Removed units that follow each other or overlap, by words, are one passage.
+
+A null id ranks last. Rows that are equal in id and text are one document; other rows that
+share an id are told apart, but a unit at one offset of them is one occurrence. Null, empty
+and wordless texts have no units; an empty table gives an empty result. A window that
+overlaps its own first occurrence, in text that repeats itself, is no later one. Very long
+texts are hashed whole: some 100 bytes a word. Other columns pass through
+:func:`remove_repeats`, whatever their names; if one is called ``removed_spans`` the result's
+gets underscores behind its name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A unit: text up to a sentence's end before white space, or up to a line's end.
-_UNIT = re.compile(r"[^\n]*?[.!?](?=[ \t\n\r\f\v])|[^\n]+")
-_WORD = re.compile(r"\S+")
-MIN_WORDS, WINDOW, STEP = 20, 26, 25
-#: Kinds of rows: a sentence, a line of one unit, a line of more (besides its units) and a window.
-SENTENCE, LINE, LINES, WINDOWS = range(4)
-
-
-def chosen(tokens: list[str]) -> list[int]:
-    """The first words, by number, of the windows with the least hash of each STEP in a row."""
-    n = len(tokens) - WINDOW + 1
-    if n < STEP:
-        return []
-    value = np.array([crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    for i in range(WINDOW):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + value[i : i + n]
-    total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = np.lib.stride_tricks.sliding_window_view(total, STEP).argmin(axis=1)
-    return np.unique(least + np.arange(len(least))).tolist()
-
-
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, kind, n, word, words, start, end, h1, h2): offsets in code points of the original text.
-
-    ``word`` is the number of its first word, ``n`` how many units it has. A line of more than
-    one unit has a row of its own if it is under ``min_words`` words; longer ones need none.
-    """
+from strandweave.llm.graph import cut, free_name
+from strandweave.llm.textkit import chunks, mix64, scan_words, span_hashes
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+WINDOW, STEP = 26, 25
+#: Kinds of units.
+LINE, PASSAGE = 0, 1
+#: Rows up to which repeated digests, of 32 bytes each, are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+_UNIT = "row long, doc_id long, kind int, word int, words int, start int, `end` int, h1 long, h2 long"
+
+
+def _sliding(value: np.ndarray, n: int, best) -> np.ndarray:
+    """The least or greatest of every ``n`` in a row, by doubling."""
+    size = 1
+    while 2 * size <= n:
+        value = best(value[: len(value) - size], value[size:])
+        size *= 2
+    return best(value[: len(value) - (n - size)], value[n - size :]) if size < n else value
 
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                hashes: list[bytes] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    every: list[str] = []
-                    line: list[tuple] = []
-                    text = text or ""
-                    edge = -1
-                    for m in _UNIT.finditer(text):
-                        tokens = m.group().lower().split()
-                        if not tokens:
-                            continue
-                        if m.start() > edge:
-                            _close(line, doc_id, every, min_words, rows, hashes, digest)
-                            edge = text.find("\n", m.start())
-                            edge = len(text) if edge < 0 else edge
-                        line.append((len(every), len(tokens), m.start(), m.end()))
-                        every += tokens
-                    _close(line, doc_id, every, min_words, rows, hashes, digest)
-                    picked = chosen(every)
-                    if picked:
-                        places = [w.span() for w in _WORD.finditer(text)]
-                        for w in picked:
-                            rows.append((doc_id, WINDOWS, 0, w, WINDOW, places[w][0], places[w + WINDOW - 1][1]))
-                            hashes.append(digest(" ".join(every[w : w + WINDOW]).encode("utf-8", "surrogatepass"), 1))
-                names = ["doc_id", "kind", "n", "word", "words", "start", "end"]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                h = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                made = [pa.array(c, pa.int64() if k == "doc_id" else pa.int32()) for k, c in zip(names, columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*made, pa.array(h[:, 0]), pa.array(h[:, 1])], names=[*names, "h1", "h2"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        split, "doc_id long, kind int, n int, word int, words int, start int, `end` int, h1 long, h2 long"
-    )
 
+def chosen(value: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which windows have the least ``value`` of some STEP in a row; ``whole`` tells those inside one text."""
+    out = np.zeros(len(value), bool)
+    if len(value) < STEP:
+        return out
+    # windows that begin in one text follow each other, so a row is inside it if its ends are
+    text = np.cumsum(~whole)
+    inside = whole[STEP - 1 :] & whole[: len(whole) - STEP + 1] & (text[STEP - 1 :] == text[: len(text) - STEP + 1])
+    least = np.where(inside, _sliding(value, STEP, np.minimum), np.uint64(0))
+    edge = np.zeros(STEP - 1, np.uint64)
+    return whole & (_sliding(np.concatenate([edge, least, edge]), STEP, np.maximum) == value)
 
-def _close(line: list[tuple], doc_id: int | None, every: list[str], min_words: int, rows: list[tuple], hashes: list[bytes], digest) -> None:
-    """Rows of a line's units (first word, words, start, end), which are then cleared."""
-    for w, n, start, end in line:
-        rows.append((doc_id, LINE if len(line) == 1 else SENTENCE, 1, w, n, start, end))
-        hashes.append(digest(" ".join(every[w : w + n]).encode("utf-8", "surrogatepass")))
-    if len(line) > 1 and len(every) - line[0][0] < min_words:
-        rows.append((doc_id, LINES, len(line), line[0][0], len(every) - line[0][0], line[0][2], line[-1][3]))
-        hashes.append(digest(" ".join(every[line[0][0] :]).encode("utf-8", "surrogatepass")))
-    line.clear()
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, kind, word, words, start, end, h1, h2): offsets in code points of the original text; ``word`` is the number of its first word."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = scan_words(part.column("text"), fold_case=True)
+                n = len(words.starts)
+                of = np.repeat(np.arange(part.num_rows), words.counts)
+                breaks = np.cumsum(words.raw == 10, dtype=np.int32)[words.starts] if n else np.zeros(0, np.int32)
+                head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (breaks[1:] != breaks[:-1]))) if n else np.zeros(0, np.int64)
+                tail = np.append(head[1:], n) if n else head
+                windows = np.arange(max(0, n - WINDOW + 1))
+                value = span_hashes(words.hashes, np.concatenate([head, windows]), np.concatenate([tail, windows + WINDOW]))
+                other = span_hashes(mix64(words.hashes ^ np.uint64(0xA24BAED4963EE407)), np.concatenate([head, windows]), np.concatenate([tail, windows + WINDOW]))
+                lines = len(head)
+                picked = np.flatnonzero(chosen(value[lines:], of[: len(windows)] == of[WINDOW - 1 :] if len(windows) else np.zeros(0, bool)))
+                first, last = np.concatenate([head, picked]), np.concatenate([tail, picked + WINDOW])
+                at = np.concatenate([np.arange(lines), lines + picked])
+                points = np.cumsum((words.raw & 0xC0) != 0x80, dtype=np.int64)
+                before = np.append(0, points)[words.offsets[:-1]]
+                doc = of[first] if n else np.zeros(0, np.int64)
+                start = (points[words.starts[first]] - 1 - before[doc]) if n else first
+                end = (points[words.ends[last - 1] - 1] - before[doc]) if n else first
+                index = pa.array(doc)
+                kind = np.repeat([LINE, PASSAGE], [lines, len(picked)])
+                ints = [pa.array(c.astype(np.int32)) for c in (kind, first - words.first[doc], last - first, start, end)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(index), part.column("doc_id").take(index), *ints, pa.array(value[at].view(np.int64)), pa.array(other[at].view(np.int64))],
+                    names=["row", "doc_id", "kind", "word", "words", "start", "end", "h1", "h2"],
+                )
+
+    return _keyed(docs, id_col, text_col).select("row", "doc_id", "text").mapInArrow(split, _UNIT)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    return docs.select(F.xxhash64(key, text).alias("row"), key.alias("doc_id"), text.alias("text"))
+
+
+_NONE = 1 << 63
+
+
+def _rank() -> Column:
+    """(doc_id, start) as one number, so that its minimum stays in hash aggregation."""
+    return (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(_NONE)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(12,0)") + F.col("start")).cast("decimal(38,0)")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``run``: those of a document that follow each other or overlap, by words, have the same."""
-    in_doc = W.partitionBy("doc_id").orderBy("word", "words", "start", "kind")
-    before = F.max(F.col("word") + F.col("words")).over(in_doc.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("opens", F.coalesce((F.col("word") > before).cast("int"), F.lit(0))).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(W.unboundedPreceding, 0)))
+    """``rows`` with ``run``: those of a text that follow each other or overlap, by words, have the same."""
+    in_text = W.partitionBy("row").orderBy("word", "words", "kind")
+    before = F.max(F.col("word") + F.col("words")).over(in_text.rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("opens", F.coalesce((F.col("word") > before).cast("int"), F.lit(0))).withColumn("run", F.sum("opens").over(in_text.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, first_doc_id) of every passage to remove.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, start, end, n_units, n_words, first_doc_id) of every passage to remove; ``row`` is a hash of id and text.
 
-    ``first_doc_id`` is the least document that keeps one of its units. The digest groups
-    are summed before their shuffle, and only digests with more than one occurrence come
-    back to the units, so a line found everywhere is one row of that join's small side.
+    ``first_doc_id`` is the least document that keeps one of its units. Digest groups are
+    summed before their shuffle. Only digests with a later occurrence meet the units again:
+    broadcast while they are few, else in a join whose skewed keys Spark can split.
     """
-    all_units = units(docs, id_col, text_col, min_words)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    first = all_units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h1", "h2", "first")
-    later = all_units.join(first, ["h1", "h2"]).where(rank != F.col("first"))
-    # a window that overlaps its own first occurrence, in text that repeats itself, is no other one
-    own = (F.col("kind") == WINDOWS) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") < F.col("first.start") + F.col("end") - F.col("start"))
-    later = later.where(~own).select("doc_id", "kind", "n", "word", "words", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
-    # a document's repeated units only, so a window holds one text's at most
-    runs = _runs(later.repartition("doc_id").dropDuplicates(["doc_id", "kind", "word", "words", "start"]))
-    in_run = W.partitionBy("doc_id", "run")
-    total = F.max(F.col("word") + F.col("words")).over(in_run) - F.min("word").over(in_run)
-    # of a short run whole lines are left, which may stand apart
-    runs = runs.withColumn("long", total >= min_words).where(F.col("long") | F.col("kind").isin(LINE, LINES))
+    first = units(docs, id_col, text_col).groupBy("h1", "h2").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last"))
+    repeated = cut(first.where("first <> last").select("h1", "h2", "first"))
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = units(docs, id_col, text_col).join(F.broadcast(repeated) if few else repeated, ["h1", "h2"])
+    ahead = _rank() - F.col("first")
+    later = met.where(ahead > 0).where((F.col("kind") == LINE) | (ahead >= F.col("end") - F.col("start")))
+    source = F.floor(F.col("first") / F.lit(1 << 31).cast("decimal(12,0)")).cast("decimal(20,0)")
+    told = later.select("row", "doc_id", "kind", "word", "words", "start", "end", F.when(source < F.lit(str(_NONE)).cast("decimal(20,0)"), source.cast("long")).alias("first_doc_id"))
+    # a text's repeated units only, so a window holds one text's at most; equal rows of one id give each unit once
+    runs = _runs(told.repartition("row").dropDuplicates(["row", "kind", "word", "words"]))
     return (
-        _runs(runs)
-        .groupBy("doc_id", "run")
+        runs.groupBy("row", "doc_id", "run")
         .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.sum(F.when(~F.col("long") | (F.col("kind") != LINES), F.col("n")).otherwise(0)).alias("n_units"),
+            F.min("start").cast("long").alias("start"),
+            F.max("end").cast("long").alias("end"),
+            F.count(F.lit(1)).alias("n_units"),
             (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"),
             F.min("first_doc_id").alias("first_doc_id"),
         )
-        .select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "n_units", "n_words", "first_doc_id")
+        .drop("run")
     )
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from the text, and ``removed_spans`` (start, end) of the original."""
-    key = F.col(id_col).cast("long")
-    spans = repeated_passages(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    joined = docs.withColumn("__doc", key).join(spans, "__doc", "left").drop("__doc")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    spans_ = F.coalesce("removed_spans", none)
-    text = F.col(text_col)
-    kept = F.aggregate(
-        spans_,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return joined.withColumn("removed_spans", spans_).withColumn(text_col, F.when(text.isNull(), text).otherwise(kept))
+    out = free_name(docs, "removed_spans")
+    mine, of, found = (free_name(docs, c) for c in ("__row", "__of", "__spans"))
+    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("row").alias(of)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
+    text = F.col(text_col).cast("string")
+    joined = docs.withColumn(mine, F.xxhash64(F.col(id_col).cast("long"), text)).join(spans, F.col(mine) == F.col(of), "left").drop(mine, of)
+    joined = joined.withColumn(found, F.coalesce(found, F.array().cast("array<struct<start:bigint,end:bigint>>"))).withColumn(text_col, text)
+    place = joined.columns.index(text_col)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for whole, cuts in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                at, left = 0, []
+                for c in cuts:
+                    left.append(whole[at : c["start"]])
+                    at = c["end"]
+                kept.append("".join([*left, whole[at:]]) if cuts else whole)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(kept, batch.schema.field(place).type))
+
+    return joined.mapInArrow(remove, joined.schema).withColumnRenamed(found, out)

@@ -147,6 +147,14 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return doc_of, value
 
 
+def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of words first[i]:last[i], the same wherever it stands."""
+    power, inverse = _powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+    return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * _ODD)
+
+
 def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (doc, value), by doc and value."""
     order = np.lexsort((value, doc))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import queries
+from strandweave.llm import queries, substring_dedup
 from strandweave.llm.embedding_dedup import embedding_components
 from strandweave.llm.graph import connected_components
 from strandweave.llm.jaccard_join import jaccard_components
 from strandweave.llm.line_dedup import line_dedup, within_edits
 from strandweave.llm.substring_dedup import remove_repeats, repeated_passages
+from strandweave.llm.textkit import scan_words, span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -190,77 +192,151 @@ def test_banded_edit_distance(spark, k):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randrange(2)] = rng.choice(["", "a", "b"])
         pairs.append((a, "".join(b)))
-    got = spark.createDataFrame(pairs, "a string, b string").withColumn("near", within_edits(__import__("pyspark").sql.functions.col("a"), __import__("pyspark").sql.functions.col("b"), k)).collect()
+    got = spark.createDataFrame(pairs, "a string, b string").withColumn("near", within_edits(F.col("a"), F.col("b"), k)).collect()
     assert [(r["a"], r["b"], r["near"]) for r in got if r["near"] != (edit(r["a"], r["b"]) <= k)] == []
 
 
-def brute_lines(rows, k=1, min_chars=64):
-    norm = lambda s: s.lower().translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
-    seen, out = [], {}
-    for i, text in sorted((r for r in rows), key=lambda r: r[0]):
+def normal(line):
+    return line.lower().translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
+
+
+def brute_lines(rows, threshold=1, per_edit=20):
+    """Texts without lines that an earlier one, of any row, equals or is within the shorter one's edits of."""
+    seen, out = defaultdict(set), []
+    known = set()
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         kept = []
         for line in (text or "").split("\n"):
-            n = norm(line)
-            if len(line) >= min_chars and len(n) >= min_chars:
-                gone = any(abs(len(n) - len(s)) <= k and (n == s or edit(n, s) <= k) for s in seen)
-                seen.append(n)
-                if gone:
-                    continue
-            kept.append(line)
-        out[i] = None if text is None else "\n".join(kept)
+            n = normal(line)
+            gone = n != "" and n in known
+            if n and not gone:
+                for size in range(len(n) - threshold, len(n) + threshold + 1):
+                    k = min(threshold, min(size, len(n)) // per_edit)
+                    if abs(size - len(n)) <= k:
+                        gone = gone or any(edit(n, s) <= k for s in seen[size] if close(n, s, k))
+                known.add(n)
+                seen[len(n)].add(n)
+            if not gone:
+                kept.append(line)
+        out.append((i, None if text is None else "\n".join(kept)))
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_lines_match_brute_force_with_hot_segments(spark, hot):
-    rng = random.Random(5)
-    base = "".join(rng.choice("abcdef gh") for _ in range(70)).strip() + "z"
+def close(a, b, k):
+    """Whether a bag of letters differs in so little that the edit distance is worth computing."""
+    return sum(((c := Counter(a)) - (d := Counter(b))).values()) <= k and sum((d - c).values()) <= k
+
+
+@pytest.mark.parametrize("threshold, per_edit, hot", [(0, 1, 64), (1, 20, 64), (1, 1, 3), (2, 1, 64), (2, 10, 4), (2, 1, 2), (3, 1, 5), (3, 12, 64)])
+def test_lines_match_brute_force_with_hot_segments(spark, threshold, per_edit, hot):
+    """Lines of every length, one group that shares all its segments, and near copies around the threshold."""
+    rng = random.Random(threshold * 100 + per_edit)
+    base = "".join(rng.choice("abcdef gh") for _ in range(66)).strip() + "z"
     rows = []
-    for i in range(60):
+    for i in range(40):
         s = list(base)
-        for _ in range(rng.randrange(3)):
-            at = rng.choice([1, 2, 40, 41, 42, 43, 60])
+        for _ in range(rng.randrange(threshold + 3)):
+            at = rng.choice([1, 2, 20, 40, 41, 42, 43, 60, 64])
             s[at : at + rng.randrange(2)] = rng.choice(["", "q", "r", "ss"])
-        rows.append((i, "short\n" + "".join(s) + "\n" + ("x%02d" % i) * 30))
-    rows += [(100, None), (101, ""), (102, base), (103, base + "\n" + base)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(rows, DOCS), hot=hot).collect()}
-    assert got == brute_lines(rows)
+        short = "".join(rng.choice("ab ") for _ in range(rng.randrange(9)))
+        rows.append((i, short + "\n" + "".join(s) + "\n" + ("x%02d" % i) * 9 + "\n" + base[: rng.randrange(len(base))] + rng.choice("uvw")))
+    rows += [(100, None), (101, ""), (102, base), (103, base + "\n" + base), (None, base[1:] + "\nnobody has this one")]
+    got = sorted((tuple(r) for r in line_dedup(spark.createDataFrame(rows, DOCS), threshold, per_edit, hot).select("doc_id", "text").collect()), key=str)
+    assert got == sorted(brute_lines(rows, threshold, per_edit), key=str)
 
 
 def test_lines_on_sf_table_and_empty(spark, sf):
-    df = spark.read.parquet(f"{sf}/documents.parquet").withColumn("pos", __import__("pyspark").sql.functions.lit(1))
+    df = spark.read.parquet(f"{sf}/documents.parquet").withColumn("pos", F.lit(1))
     got = {r["doc_id"]: r["text"] for r in line_dedup(df).collect()}
-    assert got == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert got == dict(brute_lines([(r["doc_id"], r["text"]) for r in df.collect()]))
     empty = line_dedup(spark.createDataFrame([], DOCS))
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "removed_lines"]
 
 
-def test_equal_short_lines_go_whatever_their_length(spark, sf):
-    rows = [(1, "Footer 1\n\n}\nkept"), (2, "  footer 2\n\n}\nfooters"), (3, " \n\t\nFOOTER 9\nown"), (None, "own\nlast"), (4, None)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(rows, DOCS), min_equal=1).collect()}
-    assert got == {1: rows[0][1], 2: "\nfooters", 3: " \n\t\nown", None: "last", 4: None}
-    # the query: of all lines that are not blank, no equal one comes later
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    norm = lambda s: s.lower().translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
-    seen, repeats = set(), defaultdict(int)
-    for i, text in sorted(docs):
-        for line in map(norm, (text or "").split("\n")):
-            repeats[i] += bool(line) and line in seen
-            seen.add(line)
-    removed = {r["doc_id"]: r["n_removed"] for r in queries.op6_line_dedup(spark, sf).collect()}
-    assert sum(repeats.values()) > 0 and all(removed[i] >= n for i, n in repeats.items())
-
-
-def test_passages(spark):
-    passage = "One fine passage of words that is long enough to count. It has a second sentence with quite a few words in it. And a third."
-    rows = [(1, f"Start here. {passage} End."), (2, f"Other words go first. {passage} Tail.\nLine two"), (3, "Short. Short."), (4, None), (5, ""), (None, passage), (6, f"{passage}\n{passage}")]
-    df = spark.createDataFrame(rows, DOCS)
-    got = {(r["doc_id"], r["first_doc_id"]) for r in repeated_passages(df).collect()}
-    assert got == {(2, 1), (None, 1), (6, 1)}
-    texts = {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()}
-    assert texts[1] == rows[0][1] and texts[3] == "Short. Short." and texts[4] is None and texts[5] == ""
-    assert texts[2] == "Other words go first. Tail.\nLine two" or texts[2].replace(" ", "") == "Otherwordsgofirst.Tail.\nLinetwo"
-    assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+def test_lines_of_odd_tables(spark):
+    rows = [(1, "Footer 1\n\n}\nkept"), (2, "  footer 2\n\n}\nfooters"), (3, " \n\t\nFOOTER 9\nown"), (None, "own\nlast"), (4, None), (5, "one\nmine"), (5, "one\nyours\nmine"), (5, "one\nmine")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("kept") for c in ("removed_lines", "row", "pos", "__of", "h1", "key", "rank")})
+    out = line_dedup(df)
+    assert out.columns == [*df.columns, "removed_lines_"] and out.where("removed_lines <> 'kept' or rank <> 'kept'").count() == 0
+    got = sorted((tuple(r) for r in out.select("doc_id", "text").collect()), key=str)
+    # lines at one place of rows that share an id are one occurrence
+    assert got == sorted([(1, rows[0][1]), (2, "\nfooters"), (3, " \n\t\nown"), (None, "last"), (4, None), (5, "one\nmine"), (5, "one\nyours"), (5, "one\nmine")], key=str)
+
+
+def test_lines_of_a_very_long_text_with_the_numbers_dropped(spark):
+    """Linear in the lines: the numbers of removed lines are bound once, dropped by the caller or not."""
+    text = "\n".join(f"line {''.join(chr(97 + int(d)) for d in str(i))} of the long text" for i in range(60_000))
+    rows = [(1, text), (2, text + "\nlast words")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(rows, DOCS), threshold=0).select("doc_id", "text").collect()}
+    assert got == {1: text, 2: "last words"}
+
+
+def brute_units(text):
+    """(kind, first word, words, start, end, content) of every line and chosen window, as the module's docstring has it."""
+    found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text or "")]
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w, _, _ in found]
+    out, at = [], 0
+    while at < len(found):
+        to = at + 1
+        while to < len(found) and "\n" not in text[found[to - 1][2] : found[to][1]]:
+            to += 1
+        out.append((0, at, to - at, found[at][1], found[to - 1][2], tuple(words[at:to])))
+        at = to
+    if len(words) >= substring_dedup.WINDOW:
+        n = len(words) - substring_dedup.WINDOW + 1
+        hashes = scan_words(pa.array([text]), fold_case=True).hashes
+        value = span_hashes(hashes, np.arange(n), np.arange(n) + substring_dedup.WINDOW)
+        picked = {i for j in range(n - substring_dedup.STEP + 1) for i in range(j, j + substring_dedup.STEP) if value[i] == value[j : j + substring_dedup.STEP].min()}
+        out += [(1, i, substring_dedup.WINDOW, found[i][1], found[i + substring_dedup.WINDOW - 1][2], tuple(words[i : i + substring_dedup.WINDOW])) for i in picked]
+    return out
+
+
+def brute_passages(rows):
+    """Every later occurrence of a unit, joined by words; rows of one id and text are one document."""
+    known = lambda i: (i is None, i or 0)
+    each = [(i, t, u) for i, t in {(i, t) for i, t in rows} for u in brute_units(t)]
+    first = {}
+    for i, _, u in each:
+        # a window is hashed as a line of the same words is
+        first[u[5]] = min(first.get(u[5], (known(i), u[3])), (known(i), u[3]))
+    held = defaultdict(list)
+    for i, t, u in each:
+        top = first[u[5]]
+        own = u[0] == 1 and top[0] == known(i) and u[3] < top[1] + u[4] - u[3]
+        if (known(i), u[3]) != top and not own:
+            held[(i, t)].append((*u[1:5], None if top[0][0] else top[0][1]))
+    out = Counter()
+    for (i, _), mine in held.items():
+        runs = []
+        for word, n, start, end, source in sorted(mine, key=lambda u: u[:2]):
+            if runs and word <= runs[-1][0]:
+                r = runs[-1]
+                r[0], r[3], r[4] = max(r[0], word + n), max(r[3], end), r[4] + 1
+                r[5].add(source)
+            else:
+                runs.append([word + n, word, start, end, 1, {source}])
+        for last, word, start, end, n, sources in runs:
+            out[(i, start, end, n, last - word, min((s for s in sources if s is not None), default=None))] += 1
+    return out
+
+
+def passages(df):
+    return Counter(tuple(r[c] for c in ("doc_id", "start", "end", "n_units", "n_words", "first_doc_id")) for r in repeated_passages(df).collect())
+
+
+def test_passages_match_brute_force_on_whole_table(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    assert passages(df) == brute_passages(rows)
+    cut = {r["doc_id"]: r for r in remove_repeats(df).collect()}
+    spans = defaultdict(list)
+    for i, start, end, *_ in brute_passages(rows):
+        spans[i].append((start, end))
+    for i, text in rows:
+        want, at = "", 0
+        for start, end in sorted(spans[i]):
+            want, at = want + text[at:start], end
+        assert cut[i]["text"] == (None if text is None else want + text[at:]) and [tuple(s) for s in cut[i]["removed_spans"]] == sorted(spans[i])
 
 
 def test_passages_pasted_into_long_lines(spark):
@@ -269,17 +345,35 @@ def test_passages_pasted_into_long_lines(spark):
     rows, want = [], {}
     for i in range(60):
         passage, before = words(50), words(rng.randrange(60))
-        if i % 3 == 0:  # a passage of sentences, cut inside its first and last
-            passage = [w + "." * (j % 11 == i % 11) for j, w in enumerate(passage)]
         rows.append((i, " ".join(words(rng.randrange(60)) + passage + words(30))))
         rows.append((100 + i, " ".join(before + passage + words(rng.randrange(1, 60)))))
         want[100 + i] = (len(" ".join(before)), len(" ".join(before + passage)))
-    got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
-    assert set(got) == set(want)
-    assert all(want[i][0] <= r["start"] + 1 and r["end"] <= want[i][1] and r["n_words"] >= 20 for i, r in got.items())
-
-
-def test_short_lines_that_repeat_go_and_short_sentences_stay(spark):
-    rows = [(1, "Read more.\nAll rights reserved. Terms apply.\nOne. Thanks a lot. Two here"), (2, "Mine. Thanks a lot. Not yours\nRead more.\nall rights  reserved. Terms apply.\nEnd"), (3, "Terms apply. Read more. One")]
     df = spark.createDataFrame(rows, DOCS)
-    assert {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()} == {1: rows[0][1], 2: "Mine. Thanks a lot. Not yours\n\nEnd", 3: rows[2][1]}
+    got = {r["doc_id"]: r for r in repeated_passages(df).collect()}
+    assert set(got) == set(want) and passages(df) == brute_passages(rows)
+    assert all(want[i][0] <= r["start"] + 1 and r["end"] <= want[i][1] and r["n_words"] >= 26 for i, r in got.items())
+
+
+def test_passages_of_odd_tables(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(70), text(80) + "\n\nRead more.\n" + text(9), text(60)
+    rows = [(1, a), (5, a), (5, c), (5, "x " + a), (5, "x " + a), (7, b), (8, "read  MORE.\nEnd"), (9, None), (9, ""), (9, " \n"), (None, c), (None, "é " + b), (10, "One word. " * 40), (11, "ab " * 200)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({k: F.lit("kept") for k in ("removed_spans", "row", "start", "h1", "__of")})
+    assert passages(df) == brute_passages(rows)
+    out = remove_repeats(df)
+    assert out.columns == [*df.columns, "removed_spans_"] and out.where("removed_spans <> 'kept' or row <> 'kept'").count() == 0
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    # a row whose text is all its own stays whole, though others with its id lose theirs
+    assert left[(5, c)] == 1 and left[(5, "")] == 1 and left[(8, "\nEnd")] == 1 and left[(9, None)] == 1 and left[(None, "")] == 1
+    assert sum(n for (i, t), n in left.items() if i == 5 and t.startswith("x ") and len(t) < len(a)) == 2
+    empty = remove_repeats(spark.createDataFrame([], DOCS))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "removed_spans"] and repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 500_000}" for i in range(1_000_000))
+    got = {(r["start"], r["end"]) for r in repeated_passages(spark.createDataFrame([(1, long)], DOCS)).collect()}
+    half = len(" ".join(f"w{i}" for i in range(500_000))) + 1
+    # the second half repeats the first but for a window's choice at its ends
+    assert len(got) == 1 and all(abs(s - half) < 400 and abs(e - len(long)) < 400 for s, e in got)
