@@ -52,7 +52,7 @@ SIGNATURE = 512
 #: A shingle that recurs 2 ** SALT_LEVEL times or more is dealt to several tasks.
 SALT_LEVEL = 12
 #: Classes of a small region; document pivots of a large one; turns of choosing hubs, and their number.
-LEAF, PIVOTS, HUBS, OUTSIDE = 32, 4, 2, 3
+LEAF, PIVOTS, HUBS, OUTSIDE = 32, 4, 1, 8
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Shingles, of 8 bytes, up to which pivots' sets are broadcast.
@@ -186,11 +186,17 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class, with ``c``, the region's classes."""
+def _shared(rows: DataFrame, t: float) -> DataFrame:
+    """``rows`` (rid, salt, x, n, pos), once each, of regions of more than one class, with ``c``, the region's classes.
+
+    Regions of two classes, most of them shared by chance, must also pass :func:`_possible`.
+    """
     # a window and not a join back, so that texts are read and rows are dealt once
     here = W.partitionBy("rid", "salt")
-    ends = rows.withColumns({"x0": F.min("x").over(here), "x1": F.max("x").over(here)}).where("salt > 0 or x0 <> x1")
+    held = {"x0": F.min("x"), "x1": F.max("x"), "rows": F.count(F.lit(1)), "ns": F.sum("n"), "ps": F.sum("pos")}
+    ends = rows.withColumns({k: v.over(here) for k, v in held.items()}).where("salt > 0 or x0 <> x1")
+    other = (F.col("ns") - F.col("n")).cast("int"), (F.col("ps") - F.col("pos")).cast("int")
+    ends = ends.where((F.col("salt") > 0) | (F.col("rows") > 2) | _possible(F.col("n"), F.col("pos"), *other, 1, t))
     kept = cut(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]).withColumn("c", F.count(F.lit(1)).over(here)))
     plain = kept.where("salt = 0").drop("salt")
     salted = kept.where("salt > 0")
@@ -214,6 +220,11 @@ def _needed(na: Column, nb: Column, t: float) -> Column:
     return F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)
 
 
+def _possible(na: Column, pa_: Column, nb: Column, pb: Column, level: int, t: float) -> Column:
+    """Whether sets of these sizes that share ``level`` shingles, the last at these places, may be linked."""
+    return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(t) - 1e-9) & (F.least(na - pa_, nb - pb) - 1 + level >= _needed(na, nb, t))
+
+
 def _candidates(rows: DataFrame, level: int, t: float, eps: float | None = None) -> DataFrame:
     """(a, b) of members of a region whose sizes and places let them be linked.
 
@@ -224,8 +235,7 @@ def _candidates(rows: DataFrame, level: int, t: float, eps: float | None = None)
     extra = ["comp", "d"] if eps is not None else []
     one = rows.select("rid", *[F.col(c).alias(f"{c}1") for c in ("x", "n", "pos", *extra)])
     two = rows.select("rid", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "pos", *extra)])
-    met = one.join(two, "rid").where("x1 < x2").where(F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(t) - 1e-9)
-    met = met.where(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 + level >= _needed(F.col("n1"), F.col("n2"), t))
+    met = one.join(two, "rid").where("x1 < x2").where(_possible(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), level, t))
     if eps is not None:
         met = met.where("comp1 <> comp2").where(F.forall(F.zip_with("d1", "d2", lambda p, q: F.abs(p - q)), lambda g: g <= eps + 1e-9))
     return met.select(F.col("x1").alias("a"), F.col("x2").alias("b"))
@@ -364,7 +374,7 @@ def jaccard_components(
     same_id = filled.join(classes, ["x", "f"]).where("uid <> class_id").select(F.col("uid").alias("a"), F.col("class_id").alias("b")).distinct()
 
     signatures = survey.where("h is null and n > 0").select("x", "n", "sig")
-    sized = _shared(_first_regions(source, k, t, table))
+    sized = _shared(_first_regions(source, k, t, table), t)
     links: DataFrame | None = None
     sets: DataFrame | None = None
     level = 1
