@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.graph import cut, free_name
 
-THRESHOLD, PER_EDIT, HOT, PIECE = 1, 20, 64, 8
+THRESHOLD, PER_EDIT, HOT, PIECES = 1, 20, 64, 8
 
 #: White space that trimming takes and blanks replace.
 _EDGE = " \t\r"
@@ -42,7 +42,8 @@ BROADCAST_ROWS = 500_000
 def normalise(line: Column) -> Column:
     low = F.lower(F.btrim(line, F.lit(_EDGE)))
     # few lines have a character to replace, and looking for one is cheaper than replacing none
-    return F.when(low.rlike(r"[1-9\t\r]"), F.translate(low, "123456789\t\r", "000000000  ")).otherwise(low)
+    digits = F.when(low.rlike("[1-9]"), F.regexp_replace(low, "[1-9]", "0")).otherwise(low)
+    return F.when(low.rlike(r"[\t\r]"), F.translate(digits, "\t\r", "  ")).otherwise(digits)
 
 
 def _few(side: DataFrame) -> bool:
@@ -208,25 +209,23 @@ def _near(pairs: DataFrame, lines: DataFrame, threshold: int, per_edit: int) ->
 
 
 def _trimmed(met: DataFrame) -> DataFrame:
-    """Pairs with ``ta`` and ``tb``: their texts without equal blocks of PIECE characters at both ends.
+    """Pairs with ``ta`` and ``tb``: their texts without the equal ones of PIECES even pieces at both ends.
 
-    Equal ends don't change the distance. With one edit at most, what is left spans the blocks
-    at the edit, so longer rests are no links. Written between steps: one nested expression of
-    all of them takes the planner minutes.
+    Equal ends don't change the distance. One edit leaves all pieces but one equal, those
+    before it counted from the front and those after it from the back. Written before the
+    distance is computed: one nested expression of both takes the planner minutes.
     """
-    blocks = F.expr(f"sequence(0, least(length(na), length(nb)) div {PIECE})")
-    differs = F.transform(blocks, lambda i: F.col("na").substr(i * PIECE + 1, F.lit(PIECE)) != F.col("nb").substr(i * PIECE + 1, F.lit(PIECE)))
-    head = F.array_position(differs, True) - 1
-    begun = met.withColumn("p", F.when(head < 0, F.least(F.length("na"), F.length("nb"))).otherwise(head * PIECE).cast("int"))
-    begun = begun.withColumns({"ra": F.col("na").substr(F.col("p") + 1, F.length("na")), "rb": F.col("nb").substr(F.col("p") + 1, F.length("nb"))})
-    begun = cut(begun.select("b1", "b2", "k", "ra", "rb"))
-    room = F.expr(f"least(length(ra), length(rb)) div {PIECE}")
-    back = F.transform(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda i: F.col("ra").substr(F.length("ra") - i * PIECE + 1, F.lit(PIECE)) != F.col("rb").substr(F.length("rb") - i * PIECE + 1, F.lit(PIECE)))
-    tail = F.array_position(back, True) - 1
-    ended = begun.withColumn("q", F.when(room == 0, F.lit(0)).when(tail < 0, room * PIECE).otherwise(tail * PIECE).cast("int"))
-    out = ended.withColumns({"ta": F.col("ra").substr(F.lit(1), F.length("ra") - F.col("q")), "tb": F.col("rb").substr(F.lit(1), F.length("rb") - F.col("q"))})
-    out = cut(out.select("b1", "b2", "k", "ta", "tb"))
-    return out.where((F.col("k") > 1) | (F.greatest(F.length("ta"), F.length("tb")) <= 2 * PIECE + 1))
+    w = F.floor(F.least(F.length("na"), F.length("nb")) / PIECES).cast("int")
+    sized = met.withColumn("w", w)
+    ahead, behind = F.lit(PIECES), F.lit(PIECES)
+    for i in reversed(range(PIECES)):
+        ahead = F.when(F.col("na").substr(i * F.col("w") + 1, F.col("w")) != F.col("nb").substr(i * F.col("w") + 1, F.col("w")), i).otherwise(ahead)
+        back = lambda c, i=i: F.col(c).substr(F.length(c) - (i + 1) * F.col("w") + 1, F.col("w"))
+        behind = F.when(back("na") != back("nb"), i).otherwise(behind)
+    told = sized.withColumns({"f": F.when(F.col("w") == 0, 0).otherwise(ahead), "g": F.when(F.col("w") == 0, 0).otherwise(behind)})
+    kept = told.where(f"k > 1 or w = 0 or f + g >= {PIECES - 1}").withColumn("g", F.least("g", PIECES - F.col("f")))
+    rest = lambda c: F.col(c).substr(F.col("f") * F.col("w") + 1, F.length(c) - (F.col("f") + F.col("g")) * F.col("w"))
+    return cut(kept.select("b1", "b2", "k", rest("na").alias("ta"), rest("nb").alias("tb")))
 
 
 def _without(text: Column, numbers: Column) -> Column:

@@ -55,4 +55,30 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS
 FROM sets LEFT JOIN top ON top.id = doc_id
 """
 
-ORACLES = {"op3_embedding_dedup": EMBEDDINGS, "op9_jaccard_join": JACCARD}
+#: Lines by class; two are one edit apart if they agree without one character at one place, or one is the other without a character.
+LINES = r"""
+WITH every AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+line AS (SELECT doc_id, unnest(parts) AS l, generate_subscripts(parts, 1) - 1 AS pos FROM every),
+normal AS MATERIALIZED (
+  SELECT doc_id, pos, doc_id * CAST(2147483648 AS HUGEINT) + pos AS r,
+    translate(regexp_replace(lower(trim(l, ' ' || chr(9) || chr(13))), '[1-9]', '0', 'g'), chr(9) || chr(13), '  ') AS s FROM line
+),
+class AS MATERIALIZED (SELECT s, length(s) AS n, min(r) AS first FROM normal WHERE s <> '' GROUP BY s),
+cut AS MATERIALIZED (SELECT s, n, first, i, substr(s, 1, i) || substr(s, i + 2) AS rest FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS i FROM class WHERE n >= 20)),
+near AS MATERIALIZED (
+  SELECT b.s FROM cut a JOIN cut b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND a.first < b.first
+  UNION
+  SELECT CASE WHEN a.first > b.first THEN a.s ELSE b.s END FROM cut a JOIN class b ON b.s = a.rest WHERE b.n >= 20
+),
+gone AS (
+  SELECT doc_id, list(pos) AS numbers FROM normal JOIN class USING (s) WHERE r <> first OR s IN (SELECT s FROM near) GROUP BY doc_id
+),
+kept AS (
+  SELECT e.doc_id, len(parts) AS n_lines, coalesce(len(numbers), 0) AS n_removed,
+    CASE WHEN numbers IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(numbers, i - 1)), chr(10)), '') END AS t
+  FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS kept_chars, md5(t) AS kept_md5 FROM kept
+"""
+
+ORACLES = {"op3_embedding_dedup": EMBEDDINGS, "op6_line_dedup": LINES, "op9_jaccard_join": JACCARD}
