@@ -36,8 +36,6 @@ from strandweave.llm.textkit import chunks, mix64, scan_words, span_hashes
 WINDOW, STEP = 26, 25
 #: Kinds of units.
 LINE, PASSAGE = 0, 1
-#: Rows up to which repeated digests, of 32 bytes each, are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 _UNIT = "row long, doc_id long, kind int, word int, words int, start int, `end` int, h1 long, h2 long"
 
 
@@ -122,13 +120,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(row, doc_id, start, end, n_units, n_words, first_doc_id) of every passage to remove; ``row`` is a hash of id and text.
 
     ``first_doc_id`` is the least document that keeps one of its units. Digest groups are
-    summed before their shuffle. Only digests with a later occurrence meet the units again:
-    broadcast while they are few, else in a join whose skewed keys Spark can split.
+    summed before their shuffle. Only digests with a later occurrence meet the units again, in
+    a join whose skewed keys Spark can split.
     """
     first = units(docs, id_col, text_col).groupBy("h1", "h2").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last"))
     repeated = cut(first.where("first <> last").select("h1", "h2", "first"))
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = units(docs, id_col, text_col).join(F.broadcast(repeated) if few else repeated, ["h1", "h2"])
+    met = units(docs, id_col, text_col).join(repeated, ["h1", "h2"])
     ahead = _rank() - F.col("first")
     later = met.where(ahead > 0).where((F.col("kind") == LINE) | (ahead >= F.col("end") - F.col("start")))
     source = F.floor(F.col("first") / F.lit(1 << 31).cast("decimal(12,0)")).cast("decimal(20,0)")
