@@ -13,8 +13,10 @@ only, so repeated turns are masked and each assistant text is a target once. A t
 alone exceeds the budget has a window of its own, whole.
 
 Turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have one
-order and all count. Null texts and roles are empty. Null ids form one conversation. Windows
-are made in one pass over sorted partitions; memory is one window's turns.
+order and all count. Null texts and roles are empty. Null ids form one conversation. An empty
+table gives an empty result; other columns are ignored, whatever their names. Windows are
+made in one pass over sorted partitions; memory is one window's turns, so a very long text
+is held whole.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ stretch of spam in a long text counts wherever it stands. The base rules come
 first: a text with under 50 words, or with more than half its words in repeated 3-word
 windows, has failed whatever its ratio.
 
-Null texts count as texts without words; empty ones likewise; ids may be null or repeated;
-other columns are ignored. All figures are over whole texts.
+Null texts count as texts without words; empty ones likewise; ids may be null or repeated,
+and repeated rows are judged each. Other columns are ignored, whatever their names; an empty
+table gives an empty result. All figures are over whole texts, long ones too.
 """
 
 from __future__ import annotations

@@ -37,6 +37,8 @@ from strandweave.llm.graph import connected_components, cut
 #: Bounds of the fit: centroids, and sampled vectors for each (taken by hash of the vector).
 MAX_CELLS, SAMPLE_PER_CELL, ROWS_PER_CELL, ROUNDS = 4096, 16, 256, 8
 NEAR_CELLS, BLOCK_ROWS = 6, 2048
+#: Numbers of the sample, of 8 bytes, that the driver fits the cells on.
+SAMPLE_NUMBERS = 1 << 23
 #: Cells by distance, in standard deviations of a random step at the threshold; None is exact.
 MARGIN_SD = 3.5
 
@@ -117,9 +119,11 @@ def embedding_components(
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim, total = dims[0]["dim"], dims[0]["count"]
     k = cells or int(min(MAX_CELLS, max(1, total // ROWS_PER_CELL)))
-    share = min(1.0, k * SAMPLE_PER_CELL * 1.2 / total)
-    sample = classes.where((F.col("dim") == dim) & (F.pmod("x", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("x", "v").limit(k * SAMPLE_PER_CELL * 2).toPandas().sort_values("x")
-    fitted = np.array(sample["v"].tolist(), dtype=np.float64).reshape(len(sample), dim)
+    share = min(1.0, min(k * SAMPLE_PER_CELL * 1.2, SAMPLE_NUMBERS / dim) / total)
+    sample = classes.where((F.col("dim") == dim) & (F.pmod("x", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("x", "v")
+    # chosen by hash, so a rerun fits the same cells; about share * total rows and SAMPLE_NUMBERS numbers
+    held = sample.toArrow().sort_by("x")
+    fitted = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, dim)
     with np.errstate(over="ignore"):
         fitted = fitted / np.abs(fitted).max(axis=1, keepdims=True)
     fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)

@@ -19,8 +19,11 @@ document exceeds ``max_repeats`` times its size, and reruns agree. Nothing is co
 three numbers a round.
 
 Null and wordless texts have size 0 and take nothing. A source without words has target 0.
-Null sources are one source. Null or repeated ids are separate documents; fully equal rows
-share one hash and are told apart by a row number within their bucket.
+Null sources are one source. Null or repeated ids are separate documents. Rows equal in id,
+text and source share one hash, so one bucket holds them; their order in it is arbitrary and
+changes nothing, as any of them may take what another does. An empty table gives an empty
+result; other columns are ignored, whatever their names; texts of any length are counted
+whole.
 """
 
 from __future__ import annotations

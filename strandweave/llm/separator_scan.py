@@ -1,14 +1,20 @@
 """Token counts from flat, unindexed token files: a scan for end-of-document ids.
 
-A token file holds nothing but little-endian ids of fixed width. Each file is cut into
-fixed-length blocks that any task reads by offset (pyarrow's file systems, so the folder
-may be local, shared or an object store), blocks are searched for the end id with numpy, and a prefix scan over (file, block) stitches the
-documents that cross a block's edge: only a block's number of ends, the place of the last
-one, and the tail after it take part, never tokens.
+A token file holds nothing but little-endian ids of fixed width, of any number. Each file is
+cut into blocks of a fixed length, the last of which may be short, that any task reads by
+offset (pyarrow's file systems, so the folder may be local, shared or an object store; a
+folder without a scheme is on Hadoop's default file system). Blocks are searched for the end
+id with numpy, and a prefix scan over (file, block) stitches the documents that cross a
+block's edge: only a block's number of ends, the place of the last one, and the tail after
+it take part, never tokens.
 
 An empty file holds no documents; a file that does not end with the end id has a last,
-open document (``closed`` false). Files are padded to whole blocks with ``pad_id``, which
-must not occur in documents and is not counted.
+open document (``closed`` false). ``pad_id``, if given, is an id that files of others are
+padded with at their end; it is not counted and must not occur in documents.
+
+:func:`count_document_tokens` takes a null text as empty, keeps null ids and every repeated
+row, each with a place of its own, ignores other columns, and gives an empty result for an
+empty table; a long text is one document of as many tokens.
 """
 
 from __future__ import annotations
@@ -23,27 +29,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.graph import cut, shared_dir
+from strandweave.llm.graph import cut, remove, shared_dir
 from strandweave.llm.textkit import chunks
 from strandweave.llm.tokenization import CachedEncoder
 
 #: Bytes of a block: the unit of reading and of stitching.
 BLOCK_BYTES = 1 << 20
-#: Fixed values of files written here: 2-byte ids, the end id, and an id outside the vocabulary as padding.
-END_ID, PAD_ID = 50256, 65535
+#: Fixed value of files written here, of 2-byte ids: the end id.
+END_ID = 50256
+
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI; one without scheme is on Hadoop's default file system, which all executors share."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, pad_id: int = PAD_ID, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes one flat file of 2-byte ids per input partition and returns (file, ordinal, doc_id).
 
-    ``folder`` is a URI that every executor reaches. A task writes under a name of its own
+    ``folder`` must be one that every executor reaches. A task writes under a name of its own
     and renames at the end, so one that runs again replaces its file with an equal one.
     """
 
+    folder = qualified(docs.sparkSession, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(folder)
         encoder, task = CachedEncoder(tokenizer_path, width=2), TaskContext.get()
         name = f"tokens-{task.partitionId():06d}.bin"
         draft = f"{root}/_{name}.{uuid.uuid4().hex}"
@@ -60,8 +75,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     names=["file", "ordinal", "doc_id"],
                 )
                 ordinal += batch.num_rows
-            if size % block_bytes:
-                sink.write(np.full((block_bytes - size % block_bytes) // 2, pad_id, dtype="<u2").tobytes())
         if size:
             store.move(draft, f"{root}/{name}")
         else:
@@ -70,44 +83,45 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "file string, ordinal long, doc_id long"))
 
 
-def _blocks(spark: SparkSession, folder: str, block_bytes: int) -> DataFrame:
-    """(file, block) of the fixed-length blocks of every ``*.bin`` file."""
-    jvm, url = spark.sparkContext._jvm, folder if "://" in folder else f"file://{folder}"
-    path = jvm.org.apache.hadoop.fs.Path(url)
+def _blocks(spark: SparkSession, folder: str, block_bytes: int, width: int) -> DataFrame:
+    """(file, block) of the blocks of every ``*.bin`` file; the last of a file may be short."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     listed = store.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*.bin")) if store.exists(path) else []
     rows = [(s.getPath().getName(), int(s.getLen())) for s in listed]
-    if bad := [n for n, size in rows if size % block_bytes]:
-        raise ValueError(f"not whole blocks: {bad[:3]}")
+    if bad := [n for n, size in rows if size % width]:
+        raise ValueError(f"not whole ids of {width} bytes: {bad[:3]}")
     spans = spark.createDataFrame([r for r in rows if r[1]], "file string, size long")
     # file names and sizes only; blocks are read in the tasks that count them
-    return spans.select("file", F.explode(F.expr(f"sequence(0L, size div {block_bytes} - 1)")).alias("block"))
+    return spans.select("file", F.explode(F.expr(f"sequence(0L, (size - 1) div {block_bytes})")).alias("block"))
 
 
-def scan_token_files(spark: SparkSession, folder: str, end_id: int = END_ID, pad_id: int = PAD_ID, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan_token_files(spark: SparkSession, folder: str, end_id: int = END_ID, pad_id: int | None = None, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document in the folder's token files.
 
     ``start`` counts the file's tokens before the document, ``n_tokens`` those before its end id.
     """
     kind = "<u2" if width == 2 else "<u4"
     per = block_bytes // width
+    folder = qualified(spark, folder)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as source:
                     ids = np.frombuffer(source.read_at(block_bytes, block * block_bytes), dtype=kind)
-                live = len(ids) - int((ids == pad_id).sum())
+                live = len(ids) - (int((ids == pad_id).sum()) if pad_id is not None else 0)
                 ends = np.flatnonzero(ids == end_id).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name]), pa.array([block], pa.int64()), pa.array([live], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
                     names=["file", "block", "live", "ends"],
                 )
 
-    blocks = _blocks(spark, folder, block_bytes)
+    blocks = _blocks(spark, folder, block_bytes, width)
     found = cut(blocks.repartition(max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism)), "file", "block").mapInArrow(search, "file string, block long, live long, ends array<long>"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     edges = found.select("file", "block", "live", F.size("ends").cast("long").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last"))
@@ -144,6 +158,5 @@ def count_document_tokens(docs: DataFrame, tokenizer_path: str, folder: str | No
     places = write_token_files(docs, folder, tokenizer_path)
     counted = places.join(scan_token_files(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
     if own:  # the scan's blocks are checkpointed: the files have been read for good
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
     return counted

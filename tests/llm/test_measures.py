@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import queries
 from strandweave.llm.compression_quality import BANDS, CHUNK_BAND, CHUNK_BYTES, LEVEL, compression_quality
-from strandweave.llm.language_id import identify_languages, keep_identified
+from strandweave.llm.language_id import buckets_for, identify_languages, keep_identified
 from strandweave.llm.mixing import MAX_REPEATS, WEIGHTS, mix_to_weights, repeat_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,9 +42,9 @@ def brute_quality(doc_id, text):
     if raw:
         _, least, most = next(b for b in BANDS if len(raw) < b[0])
         good = least <= len(raw) / len(press.compress(raw)) <= most
-        pieces = [raw[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES] for i in range(len(raw) // CHUNK_BYTES)]
-        if len(pieces) > 1:
-            good &= all(CHUNK_BAND[0] <= CHUNK_BYTES / len(press.compress(p)) <= CHUNK_BAND[1] for p in pieces)
+        if len(raw) > CHUNK_BYTES:
+            starts = [*range(0, len(raw) - CHUNK_BYTES, CHUNK_BYTES), len(raw) - CHUNK_BYTES]
+            good &= all(CHUNK_BAND[0] <= CHUNK_BYTES / len(press.compress(raw[i : i + CHUNK_BYTES])) <= CHUNK_BAND[1] for i in starts)
     return (doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeat), failed, good and not failed)
 
 
@@ -169,6 +170,51 @@ def test_language_on_held_out_rows(spark, sf01):
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(other).collect()} == {i: (r["lang_pred"], r["score"]) for i, r in got.items()}
 
 
+def grams(text):
+    """Hash buckets of a text's n-grams, one by one."""
+    points, mask = [], (1 << 64) - 1
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            points.append(ord(c))
+        elif points and points[-1] != 32:
+            points.append(32)
+    for i in range(len(points)):
+        value = 0
+        for n in range(min(3, len(points) - i)):
+            value = (value * 0x9E3779B97F4A7C15 + points[i + n] + n + 1) & mask
+            yield (value * 0x9E3779B97F4A7C15 & mask) >> 48
+
+
+def test_language_equals_a_plain_naive_bayes(spark, sf):
+    """Whole table; all labelled rows outside the held-out fold are in the sample here."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents(spark, sf).collect()]
+    rows.append((10**6, "é" + "Straße, naïve words " * 20_000, None))  # longer than a piece
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(grams(text) if any(unicodedata.category(c)[0] in "L" for c in text) else ())
+    langs = sorted(counts)
+    size = {g: sum(counts[g].values()) + 0.5 * 65536 for g in langs}
+    df = spark.createDataFrame([(i, t, g, None, None) for i, t, g in rows], DOCS)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(df).collect()}
+    for i, text, _ in rows:
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert got[i] == ("und", 0.0)
+            continue
+        mine = Counter(grams(text))
+        n = sum(mine.values())
+        mean = {g: sum(m * math.log((counts[g][b] + 0.5) / size[g]) for b, m in mine.items()) / n * min(n, 40.0) for g in langs}
+        best = max(langs, key=lambda g: mean[g])
+        score = 1 / sum(math.exp(v - mean[best]) for v in mean.values())
+        assert abs(got[i][1] - score) < 1e-3 and (got[i][0] == best or score < 0.51)
+
+
+def test_language_bounds():
+    assert buckets_for(4) == 1 << 16 and buckets_for(256) == 1 << 16 and buckets_for(1000) == 1 << 14
+    with pytest.raises(ValueError):
+        buckets_for(1 << 15)
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, t, g, "s", 1) for i, (t, g) in enumerate([("the cat sat on the mat", "en"), ("der Hund lief in den Wald", "de")] * 20)]
     odd = [None, "", "123 !?", "́́", "the dog and the cat", "THE " * 200_000]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 from strandweave.llm import queries
 from strandweave.llm.chat_format import escape, format_windows, read_back, unescape
 from strandweave.llm.packing import pack_powers_of_two, piece_lengths
-from strandweave.llm.separator_scan import scan_token_files
+from strandweave.llm.separator_scan import count_document_tokens, scan_token_files
 from strandweave.llm.tokenization import CachedEncoder
 
 ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\n", "x\ty  z", "it's we'll  don't", "naïve — café", "　wide　space", "a  b", "1 2 33  444", "<|endoftext|> x", "é b", "tab\t tab", "\x1c \x1d", "🙂 🙂🙂", "a b " * 50]
@@ -64,23 +65,46 @@ def test_separator_scan_counts(plain, spark, sf):
     assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
 
 
-def test_separator_scan_stitches_blocks(spark, tmp_path):
+@pytest.mark.parametrize("pad", [None, 77])
+def test_separator_scan_stitches_blocks(spark, tmp_path, pad):
+    """Files of any length, padded or not, documents over several blocks, an open last one, an empty file."""
     rng = random.Random(3)
     want = []
-    for f in range(3):
+    for f in range(4):
         ids, start = [], 0
-        for n, size in enumerate([0, 5, 40, 0, 0, 16, 15, 1, 100, 3]):
+        for n, size in enumerate([0, 5, 40, 0, 0, 16, 15, 1, 100, 3] if f < 3 else [4]):
             doc = [rng.randrange(9) for _ in range(size)]
             closed = not (f == 2 and n == 9)
             want.append((f"t{f}.bin", n, len(ids), size, closed))
             ids += doc + [99] * closed
-        if f == 1:
-            ids += [77] * (-len(ids) % 16)
-        ids += [77] * (-len(ids) % 16)
+        ids += [pad] * (-len(ids) % 16 if pad else 0)
         np.array(ids, dtype="<u2").tofile(tmp_path / f"t{f}.bin")
     (tmp_path / "t9.bin").touch()
-    got = scan_token_files(spark, str(tmp_path), end_id=99, pad_id=77, block_bytes=32).collect()
+    assert pad or (tmp_path / "t3.bin").stat().st_size == 10
+    got = scan_token_files(spark, str(tmp_path), end_id=99, pad_id=pad, block_bytes=32).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+    (tmp_path / "t8.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="whole ids"):
+        scan_token_files(spark, str(tmp_path), end_id=99)
+
+
+def test_token_counts_of_odd_rows(plain, spark):
+    texts = [(1, "a b c"), (1, "a b c"), (None, None), (None, ""), (2, "word " * 300_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("file", "ordinal", "start", "ends")})
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in count_document_tokens(docs, queries.tokenizer_path()).collect())
+    assert got == Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
+    assert count_document_tokens(docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_packing_of_odd_rows(plain, spark):
+    texts = [(1, "a b c"), (1, "a b c"), (1, "other"), (None, None), (2, "word " * 200_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("ids", "length", "offset", "sequence_id")})
+    held = {}
+    for r in pack_powers_of_two(docs, queries.tokenizer_path()).orderBy("sequence_id").collect():
+        if r["start"] == 0:
+            held[len(held)] = (r["doc_id"], [])
+        held[len(held) - 1][1].extend(r["ids"])
+    assert Counter((i, tuple(ids)) for i, ids in held.values()) == Counter((i, (*plain.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in texts)
 
 
 def brute_chat(rows):
@@ -108,7 +132,7 @@ def test_chat_odd_rows_and_budget(spark):
     tricky = "a <|end|>\n<|start|>assistant<|sep|> <\\|end|> [INST] [\\/INST] <<SYS>> </s>"
     rows = [(1, 0, "system", "rules"), (1, 1, "user", "hi " * 30), (1, 2, "assistant", tricky), (1, 3, "user", None), (1, 4, "assistant", "long " * 80), (1, 4, "assistant", "long " * 80), (1, 5, None, "x")]
     rows += [(None, 0, "assistant", "n"), (2, 0, "system", "alone"), (3, 0, "assistant", None), (4, 0, "we<|sep|>ird", "t")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("window", "n_turns", "loss", "n_repeated")})
     windows = format_windows(df, queries.tokenizer_path(), budget=120, history=60)
     assert digests(read_back(windows)) == brute_chat(rows)
     ones = [r for r in windows.orderBy("window").collect() if r["conv_id"] == 1]
