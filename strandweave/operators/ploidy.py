@@ -34,6 +34,56 @@ def haplotype_offsets(ploidies: DataFrame) -> DataFrame:
     return ploidies.withColumns({"offset": F.coalesce(F.sum("max_ploidy").over(before), F.lit(0)), "haplotypes": F.sum("max_ploidy").over(W.partitionBy("contig"))})
 
 
+def global_haplotypes(ploidies: DataFrame) -> DataFrame:
+    """(contig, global_hap, sample_idx, hap): which sample and haplotype a contig's n-th haplotype is."""
+    placed = haplotype_offsets(ploidies)
+    return placed.select("contig", "sample_idx", "offset", F.explode(F.sequence(F.lit(0), F.col("max_ploidy") - 1)).alias("hap")).select("contig", (F.col("offset") + F.col("hap")).cast("long").alias("global_hap"), "sample_idx", "hap")
+
+
+def run_slice(records: DataFrame, contig: str, start_pos: int, end_pos: int, sample_idx: int) -> DataFrame:
+    """Records of a run, from start_pos to end_pos, with its sample's column only; records without that column go."""
+    inside = (F.col("contig") == contig) & F.col("pos").between(start_pos, end_pos) & (F.size("samples") > sample_idx)
+    return records.where(inside).withColumn("samples", F.slice("samples", sample_idx + 1, 1))
+
+
+def merge_groups(groups: list[DataFrame]) -> DataFrame:
+    """(contig, pos, ref, alt, sample, gt) of ploidy groups' genotypes put together: a full outer merge on sites.
+
+    Each group has these columns for samples of its own. At a site that a group lacks its samples are ``./.``.
+    """
+    every = groups[0]
+    for g in groups[1:]:
+        every = every.unionByName(g)
+    site = ["contig", "pos", "ref", "alt"]
+    samples = every.select("sample").distinct()
+    # every site for every sample: the size of the merged file itself
+    cells = every.select(*site).distinct().withColumn("all", F.lit(1)).join(F.broadcast(samples.withColumn("all", F.lit(1))), "all").drop("all")
+    return cells.join(every.groupBy(*site, "sample").agg(F.min("gt").alias("gt")), [*site, "sample"], "left").withColumn("gt", F.coalesce("gt", F.lit("./.")))
+
+
+def ploidy_at(segments: DataFrame, sites: DataFrame) -> DataFrame:
+    """(contig, pos, ploidy): the ploidy of the first segment (contig, nth, start, end, ploidy) that covers a site; null if none does.
+
+    Sites and segments meet by bins of 2 ** 16 bases, not all with all.
+    """
+    binned = segments.withColumn("bin", F.explode(F.expr("sequence(start >> 16, `end` >> 16)")))
+    met = sites.withColumn("bin", F.shiftright("pos", 16)).join(binned, ["contig", "bin"]).where("pos between start and `end`")
+    found = met.groupBy("contig", "pos").agg(F.min_by("ploidy", "nth").alias("ploidy"))
+    return sites.select("contig", "pos").distinct().join(found, ["contig", "pos"], "left")
+
+
+class NoEligibleRun(ValueError):
+    """No run of a variable-ploidy file can be phased."""
+
+
+def require_eligible(runs: DataFrame) -> DataFrame:
+    """:func:`eligible_runs`, or an error if there is none."""
+    found = eligible_runs(runs)
+    if found.isEmpty():
+        raise NoEligibleRun("no run is longer than one position and at least diploid")
+    return found
+
+
 def ploidy_runs(gts: DataFrame) -> DataFrame:
     """(sample, contig, start_pos, end_pos, ploidy, n): maximal runs of equal ploidy over parsable genotypes."""
     parsed = gts.where(gt_is_valid(F.col("gt"))).withColumn("ploidy", gt_ploidy(F.col("gt")))

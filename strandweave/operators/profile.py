@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.genotype import variant_class
+from strandweave.functions.genotype import gt_is_valid, gt_ploidy, variant_class
+from strandweave.functions.text import parse_size
+from strandweave.operators.ploidy import genotypes
 
 #: The router's tags.
 NONE, CANONICAL, BEAGLE, WHATSHAP, VARIABLE = "none", "canonical", "beagle", "whatshap", "variable-ploidy"
@@ -41,12 +43,41 @@ def phase_route(profile: DataFrame, has_reads: bool = False) -> DataFrame:
     return profile.withColumn("backend", route).withColumn("needs_phasing", ~F.col("backend").isin(NONE, CANONICAL))
 
 
-def workload(records: DataFrame, ploidies: DataFrame) -> DataFrame:
-    """One row: variants, snv, indel, phased and unphased genotypes, haplotypes."""
+def workload(records: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row: variants, malformed, snv, indel, phased and unphased genotypes, haplotypes.
+
+    Any GT text counts, a valid one or not: its ploidy is the number of its separators and
+    one more; a sample without any is diploid.
+    """
+    good = F.col("malformed").isNull()
     kind = variant_class(F.col("ref"), F.col("alt"))
-    one = records.agg(F.count(F.lit(1)).alias("variants"), F.count_if(kind == "snv").alias("snv"), F.count_if(kind == "indel").alias("indel"))
-    per_sample = ploidies.groupBy("sample_idx").agg(F.max("max_ploidy").alias("p"), F.sum("phased").alias("phased"), F.sum("unphased").alias("unphased"))
-    return one.crossJoin(per_sample.agg(F.sum("p").cast("long").alias("haplotypes"), F.sum("phased").alias("phased"), F.sum("unphased").alias("unphased")))
+    gts = genotypes(records.where("malformed is null"), samples).where("gt is not null")
+    per_sample = gts.groupBy("sample_idx").agg(F.max(gt_ploidy(F.col("gt"))).alias("p"), F.count_if(F.col("gt").contains("|")).alias("phased"), F.count_if(F.col("gt").contains("/") & ~F.col("gt").contains("|")).alias("unphased"))
+    every = samples.select("sample_idx").join(per_sample, "sample_idx", "left")
+    sums = every.agg(F.sum(F.when(F.coalesce("p", F.lit(0)) == 0, 2).otherwise(F.col("p"))).cast("long").alias("haplotypes"), F.coalesce(F.sum("phased"), F.lit(0)).alias("phased"), F.coalesce(F.sum("unphased"), F.lit(0)).alias("unphased"))
+    counts = records.agg(F.count_if(good).alias("variants"), F.count_if(~good).alias("malformed"), F.count_if(good & (kind == "snv")).alias("snv"), F.count_if(good & (kind == "indel")).alias("indel"))
+    # one row each
+    return counts.withColumn("one", F.lit(1)).join(sums.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def legacy_route(gts: DataFrame, samples: DataFrame, has_reads: bool = False) -> DataFrame:
+    """One row, ``backend``: the treatment of a whole file; a GT with any ``/`` counts as unphased."""
+    ploidy = F.when(gt_is_valid(F.col("gt")), gt_ploidy(F.col("gt")))
+    # ploidies vary where one sample has two on any contig or over them
+    per_sample = gts.groupBy("sample_idx").agg(F.coalesce(F.max(ploidy), F.lit(2)).alias("top"), F.coalesce(F.min(ploidy), F.lit(2)).alias("low"), F.count_if(F.col("gt").contains("/")).alias("unphased"))
+    every = samples.select("sample_idx").join(per_sample, "sample_idx", "left")
+    one = every.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("unphased"), F.lit(0)).alias("unphased"),
+        F.bool_or(F.coalesce(F.col("top") != F.col("low"), F.lit(False))).alias("variable"), F.bool_and(F.coalesce("top", F.lit(2)) == 2).alias("diploid"),
+    )
+    tag = (
+        F.when(F.col("unphased") == 0, NONE)
+        .when(F.col("n") == 1, WHATSHAP if has_reads else CANONICAL)
+        .when(F.col("variable"), VARIABLE)
+        .when(F.col("diploid"), BEAGLE)
+        .otherwise(WHATSHAP)
+    )
+    return one.select(tag.alias("backend"))
 
 
 def chunk_size(total_bases: int, threads: int, user: int | None = None) -> int:
@@ -84,6 +115,18 @@ def beagle_parameters(n_samples: int) -> tuple[int, int]:
     return (3, 12) if n_samples <= 10 else (6, 20)
 
 
+def beagle_heap(available: int, wanted: str | None = None) -> str:
+    """Heap of the phaser's JVM: 60 % of memory in whole GiB, from 1 to 64; ``wanted`` (1024, 512m, 32g) can only lower it."""
+    auto = min(max(int(available * 0.6), 1 << 30), 64 << 30) >> 30
+    if wanted is not None:
+        try:
+            if parse_size(wanted) <= auto << 30:
+                return wanted
+        except ValueError:
+            pass
+    return f"{auto}g"
+
+
 def beagle_fits(n_samples: int, variants: int, available: int) -> bool:
     return n_samples * variants * 64 <= available * 0.75
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BIN, LONG_ISLAND = 1 << 20, 10_000
 
 
-def _prefix_max(df: DataFrame, value: Column, out: str, inclusive: bool) -> DataFrame:
+def prefix_max(df: DataFrame, value: Column, out: str, inclusive: bool) -> DataFrame:
     """The greatest ``value`` of the contig's records before (or up to) each, by rec_ord."""
     marked = df.withColumns({"__v": value, "__bin": F.floor(F.col("start") / BIN)})
     tops = marked.groupBy("contig", "__bin").agg(F.max("__v").alias("__top"))
@@ -32,11 +32,22 @@ def _prefix_max(df: DataFrame, value: Column, out: str, inclusive: bool) -> Data
     return joined.withColumn(out, F.greatest("__carry", F.max("__v").over(within))).drop("__v", "__bin", "__carry")
 
 
+def prefix_sum(df: DataFrame, key: list[str], place: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the key's rows before each, in two levels: bins of ``place``, which grows with ``order``."""
+    marked = df.withColumns({"__v": value, "__bin": place})
+    tops = marked.groupBy(*key, "__bin").agg(F.sum("__v").alias("__top"))
+    before = W.partitionBy(*key).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    carry = tops.select(*key, "__bin", F.coalesce(F.sum("__top").over(before), F.lit(0)).alias("__carry"))
+    within = W.partitionBy(*key, "__bin").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = marked.join(carry, [*key, "__bin"])
+    return joined.withColumn(out, (F.col("__carry") + F.coalesce(F.sum("__v").over(within), F.lit(0))).cast("long")).drop("__v", "__bin", "__carry")
+
+
 def islands(candidates: DataFrame) -> DataFrame:
     """``candidates`` (contig, rec_ord, start, end, ...) with ``island``, the start of its first record."""
-    reach = _prefix_max(candidates, F.col("end"), "__reach", inclusive=False)
+    reach = prefix_max(candidates, F.col("end"), "__reach", inclusive=False)
     heads = reach.withColumn("__head", F.when(F.col("__reach").isNull() | (F.col("start") >= F.col("__reach")), F.col("start")))
-    return _prefix_max(heads, F.col("__head"), "island", inclusive=True).drop("__reach", "__head")
+    return prefix_max(heads, F.col("__head"), "island", inclusive=True).drop("__reach", "__head")
 
 
 def select_nonoverlapping(candidates: DataFrame, long_island: int = LONG_ISLAND) -> DataFrame:
@@ -77,5 +88,5 @@ def select_nonoverlapping(candidates: DataFrame, long_island: int = LONG_ISLAND)
 
 def unsorted_records(records: DataFrame) -> DataFrame:
     """(contig, rec_ord, pos, previous_pos) of records that come before a greater position's."""
-    before = _prefix_max(records.withColumn("start", F.col("rec_ord")), F.col("pos"), "previous_pos", inclusive=False)
+    before = prefix_max(records.withColumn("start", F.col("rec_ord")), F.col("pos"), "previous_pos", inclusive=False)
     return before.where("previous_pos > pos").select("contig", "rec_ord", "pos", "previous_pos")

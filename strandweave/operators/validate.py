@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.genotype import is_nucleotides, is_symbolic
+from strandweave.operators.emit import reference_slices
 
 
 def with_reference(records: DataFrame, ref_tiles: DataFrame, ref_contigs: DataFrame, tile_size: int) -> DataFrame:
-    """Adds start, end (0-based, half open), the contig's length and the reference bases under REF.
+    """Adds start, end (0-based, half open), the contig's length and the reference bases under REF, of any length.
 
-    Tiles run on past their end by at least the longest REF (see
-    :func:`strandweave.sources.fasta.tile`), so one equi-join on (contig, tile) reads any REF.
+    A REF inside one tile is read by one equi-join on (contig, tile); one that crosses a
+    tile's end gathers its parts from all that it touches.
     """
     spanned = records.withColumns({"start": F.col("pos") - 1, "end": F.col("pos") - 1 + F.length("ref")})
-    sized = spanned.join(ref_contigs.select("contig", F.col("length").alias("contig_length")), "contig", "left")
+    sized = spanned.join(ref_contigs.select("contig", F.col("length").alias("contig_length")), "contig", "left").withColumn("tile_id", F.floor(F.col("start") / tile_size))
+    crosses = F.coalesce(F.floor((F.col("end") - 1) / tile_size) > F.col("tile_id"), F.lit(False))
     tile = ref_tiles.select("contig", "tile_id", F.col("seq").alias("tile_seq"))
-    keyed = sized.withColumn("tile_id", F.floor(F.col("start") / tile_size))
     inside = (F.col("start") - F.col("tile_id") * tile_size + 1).cast("int")
-    return keyed.join(tile, ["contig", "tile_id"], "left").withColumn("ref_bases", F.col("tile_seq").substr(inside, F.length("ref"))).drop("tile_seq", "tile_id")
+    near = sized.where(~crosses).join(tile, ["contig", "tile_id"], "left").withColumn("ref_bases", F.col("tile_seq").substr(inside, F.length("ref"))).drop("tile_seq", "tile_id")
+    far = sized.where(crosses).drop("tile_id")
+    read = reference_slices(far.select("contig", "rec_ord", "start", "end"), ref_tiles, tile_size, "start", "end", "ref_bases")
+    return near.unionByName(far.join(read.select("contig", "rec_ord", "ref_bases"), ["contig", "rec_ord"]).select(*near.columns))
 
 
 def record_reason(validate_ref: bool = True) -> Column:

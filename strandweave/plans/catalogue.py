@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import genotype as g
 from strandweave.functions.text import classify_warning, sanitize, sequence_name
-from strandweave.operators import emit, ploidy, profile, sink
+from strandweave.operators import emit, ploidy, profile, sink, verify
 from strandweave.operators.select import unsorted_records
 from strandweave.plans.reconstruct import Reconstruction, reconstruct
 from strandweave.sources.files import has_alignment_index, pick_chromosome_files, pick_sample_files
-from strandweave.sources.fixture import Genome, genome
-from strandweave.sources.vcf import parse_records
+from strandweave.sources.fixture import Genome, contig_sequences, genome
+from strandweave.sources.vcf import in_region, parse_records, pick_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,9 +64,9 @@ def _each_gt(x: Genome) -> DataFrame:
 @registered
 def vcf_parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = genome(spark, sf_dir)
-    text = F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("."), F.lit("."), "format", F.array_join("samples", "\t"), F.lit(""))
+    text = F.concat_ws("\t", "contig", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info", "format", F.array_join("samples", "\t"), F.lit(""))
     parsed = parse_records(x.records.select(F.col("rec_ord").alias("ord"), text.alias("value")))
-    return parsed.select("contig", "rec_ord", "pos", "ref", "alt", F.size("samples").cast("long").alias("n_samples"), F.coalesce("malformed", F.lit("")).alias("malformed"))
+    return parsed.select("contig", "rec_ord", "pos", "id", "ref", "alt", "qual", "filter", "info", F.size("samples").cast("long").alias("n_samples"), F.coalesce("malformed", F.lit("")).alias("malformed"))
 
 
 @over
@@ -157,8 +157,71 @@ def contig_profile(r: Reconstruction) -> DataFrame:
 
 @over
 def workload_profile(x: Genome) -> DataFrame:
-    ok = x.records.where("ref <> '.'")
-    return profile.workload(ok, ploidy.sample_ploidy(ploidy.genotypes(ok, x.samples)))
+    return profile.workload(x.records.withColumn("malformed", F.when(F.col("ref") == ".", "malformed_record")), x.samples)
+
+
+@over
+def legacy_route(x: Genome) -> DataFrame:
+    """Routes of the whole file, of its contigs 3 and up without the last sample, and of one sample alone."""
+    gts = ploidy.genotypes(x.records.where("ref <> '.'"), x.samples)
+    each = lambda name, g, s: profile.legacy_route(g, s).select(F.lit(name).alias("part"), "backend")
+    three = x.samples.where("sample_idx < 3")
+    one = x.samples.where("sample_idx = 0")
+    calm = gts.where("sample_idx < 3 and gt rlike '^[01]/[01]$'")
+    parts = [each("whole", gts, x.samples), each("diploid", calm, three), each("one", gts.where("sample_idx = 0"), one), each("phased", gts.where("gt = '0|1'"), x.samples)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@rebuilt
+def file_ploidy(r: Reconstruction) -> DataFrame:
+    return r.overall_ploidies.select(F.col("sample_idx").cast("long").alias("sample_idx"), F.col("max_ploidy").cast("long").alias("max_ploidy"))
+
+
+@rebuilt
+def global_haplotypes(r: Reconstruction) -> DataFrame:
+    return ploidy.global_haplotypes(r.ploidies).select("contig", "global_hap", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"))
+
+
+@over
+def run_slice(x: Genome) -> DataFrame:
+    return ploidy.run_slice(x.records, "chr3", 2000, 12000, 3).select("contig", "rec_ord", "pos", F.get("samples", F.lit(0)).alias("field"))
+
+
+@rebuilt
+def group_merge(r: Reconstruction) -> DataFrame:
+    """Diploid and triploid samples' genotypes, of different sites, put together again."""
+    rows = r.genotypes.join(r.checked.select("contig", "rec_ord", "ref", "alt"), ["contig", "rec_ord"]).where("contig = 'chr3' and gt is not null").select("contig", "pos", "ref", "alt", "sample", "gt")
+    return ploidy.merge_groups([rows.where("sample <> 'S3' and pos % 3 <> 0"), rows.where("sample = 'S3' and pos % 3 <> 1")])
+
+
+@over
+def ploidy_intervals(x: Genome) -> DataFrame:
+    """The first of overlapping segments that covers a record; none covers those past 15000."""
+    cuts = x.ref_contigs.select("contig", F.explode(F.expr("array(named_struct('nth', 0, 's', 1, 'e', 5000, 'p', 2), named_struct('nth', 1, 's', 4000, 'e', 9000, 'p', 3), named_struct('nth', 2, 's', 9001, 'e', 15000, 'p', 4))")).alias("c"))
+    segments = cuts.select("contig", "c.nth", F.col("c.s").cast("long").alias("start"), F.col("c.e").cast("long").alias("end"), F.col("c.p").cast("long").alias("ploidy"))
+    return ploidy.ploidy_at(segments, x.records.select("contig", "pos"))
+
+
+@rebuilt
+def prefilter_counts(r: Reconstruction) -> DataFrame:
+    return sink.prefilter_counts(r.checked, r.contigs.where("contig_ord < 20"))
+
+
+@rebuilt
+def warning_log(r: Reconstruction) -> DataFrame:
+    return sink.warning_log(r.warnings, r.contigs, 500).select("value")
+
+
+@rebuilt
+def run_log(r: Reconstruction) -> DataFrame:
+    return sink.run_log(r.routes, r.stats, r.haplotype_counts)
+
+
+@over
+def reference_slice(x: Genome) -> DataFrame:
+    """Ranges of a contig, over tile borders and past its end."""
+    ranges = x.ref_contigs.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("contig", (F.col("nth") * 3777).cast("long").alias("start"), (F.col("nth") * 3777 + 4500).cast("long").alias("end"))
+    return emit.reference_slices(ranges, x.ref_tiles, x.tile_size, "start", "end", "seq").select("contig", "start", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
 
 
 @rebuilt
@@ -204,18 +267,17 @@ def run_merge(r: Reconstruction) -> DataFrame:
 
 @over
 def sample_subset(x: Genome) -> DataFrame:
-    picked = F.transform(F.array(F.lit(2), F.lit(0), F.lit(9)), lambda i: F.coalesce(F.get("samples", i), F.lit(".")))
-    return x.records.select("contig", "rec_ord", F.array_join(picked, "\t").alias("columns"))
+    return pick_samples(x.records, [2, 0, 9]).select("contig", "rec_ord", F.array_join("samples", "\t").alias("columns"))
 
 
 @over
 def region_scan(x: Genome) -> DataFrame:
-    return x.records.where("contig = 'chr7' and pos - 1 < 9000 and pos - 1 + length(ref) > 4000").select("contig", "rec_ord", "pos", "ref")
+    return in_region(x.records, "chr7", 4000, 9000).select("contig", "rec_ord", "pos", "ref")
 
 
 @rebuilt
 def clean_gt(r: Reconstruction) -> DataFrame:
-    lines = sink.cleaned_lines(r.checked.where("reason is null"), r.genotypes, r.ploidies)
+    lines = sink.cleaned_lines(r.checked.where("reason is null"), r.genotypes, r.overall_ploidies)
     return lines.select("contig", "rec_ord", "line")
 
 
@@ -234,24 +296,22 @@ def single_sample_canonical(x: Genome) -> DataFrame:
     one = x.samples.where("sample_idx = 0")
     cut = x.records.withColumn("samples", F.slice("samples", 1, 1))
     r = reconstruct(Genome(one, cut, x.ref_contigs, x.ref_tiles, x.tile_size), single_sample=True)
-    called = emit.calls(r.chosen.where("applied"), r.genotypes, r.ploidies, single_sample=True)
-    return called.select("contig", "rec_ord", F.col("hap").cast("long").alias("hap"), F.col("code").cast("long").alias("code"))
+    return r.called.select("contig", "rec_ord", F.col("hap").cast("long").alias("hap"), F.col("code").cast("long").alias("code"))
 
 
 @rebuilt
 def haplotype_calls(r: Reconstruction) -> DataFrame:
-    called = emit.calls(r.chosen.where("applied"), r.genotypes, r.ploidies)
-    return called.groupBy("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return r.called.groupBy("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @rebuilt
 def segments(r: Reconstruction) -> DataFrame:
-    return r.segments.select("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), "ord", F.length("gap").cast("long").alias("gap_length"), "text")
+    return r.segments.select("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), "ord", (F.col("gap_end") - F.col("gap_start")).alias("gap_length"), "text")
 
 
 @rebuilt
 def hap_lengths(r: Reconstruction) -> DataFrame:
-    return r.segments.groupBy("contig", "sample", F.col("hap").cast("long").alias("hap")).agg(F.sum(F.length("gap") + F.length("text")).cast("long").alias("length"))
+    return r.segments.groupBy("contig", "sample", F.col("hap").cast("long").alias("hap")).agg(F.sum(emit.segment_length()).alias("length"))
 
 
 @rebuilt
@@ -267,13 +327,36 @@ def hap_sequences(r: Reconstruction) -> DataFrame:
 @rebuilt
 def fasta_lines(r: Reconstruction) -> DataFrame:
     name = sequence_name(F.col("sample"), F.col("contig"), F.col("hap"))
-    return emit.wrapped_lines(r.segments, 80).select(name.alias("name"), F.col("line").cast("long").alias("line"), "text")
+    return emit.wrapped_lines(r.pieces, 80).select(name.alias("name"), F.col("line").cast("long").alias("line"), "text")
 
 
 @rebuilt
 def merged_fasta(r: Reconstruction) -> DataFrame:
-    text = sink.merged_records(sink.fasta_records(r.sequences, 80), r.contigs)
-    return text.select("sample", F.col("hap").cast("long").alias("hap"), F.length("text").cast("long").alias("length"), F.md5("text").alias("md5"))
+    return emit.merged_lines(r.segments, r.pieces, r.contigs, 80).select("sample", F.col("hap").cast("long").alias("hap"), "line", "text")
+
+
+@rebuilt
+def region_sequences(r: Reconstruction) -> DataFrame:
+    return r.region("chr7", 4000, 9000).select("contig", "sample", F.col("hap").cast("long").alias("hap"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
+
+
+@registered
+def truth_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences built from ALT edits alone, apart from the assembly."""
+    r = reconstruct(genome(spark, sf_dir), single_sample=False)
+    haps = r.ploidies.select("contig", "sample_idx", "sample", F.explode(F.sequence(F.lit(0), F.col("max_ploidy") - 1)).alias("hap"))
+    built = verify.edited_sequences(contig_sequences(spark, sf_dir), haps, verify.allele_edits(r.called))
+    return built.select("contig", "sample", F.col("hap").cast("long").alias("hap"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"))
+
+
+@rebuilt
+def length_attribution(r: Reconstruction) -> DataFrame:
+    return verify.length_attribution(r.called).select("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), "rec_ord", "delta")
+
+
+@rebuilt
+def unexplained_lengths(r: Reconstruction) -> DataFrame:
+    return verify.unexplained_lengths(r.segments, r.called, r.contigs).select("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap"), "length", "expected")
 
 
 @over
@@ -365,6 +448,5 @@ def overlap_skips(r: Reconstruction) -> DataFrame:
 @rebuilt
 def length_differences(r: Reconstruction) -> DataFrame:
     """Each haplotype's length less its contig's, as summed over the calls that change it."""
-    called = emit.calls(r.chosen.where("applied"), r.genotypes, r.ploidies)
     wrote = F.when(F.col("code") >= 0, F.length("allele")).otherwise(1)
-    return called.groupBy("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap")).agg(F.sum(wrote - (F.col("end") - F.col("start"))).cast("long").alias("delta"))
+    return r.called.groupBy("contig", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("hap").cast("long").alias("hap")).agg(F.sum(wrote - (F.col("end") - F.col("start"))).cast("long").alias("delta"))

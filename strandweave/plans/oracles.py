@@ -16,7 +16,7 @@ def _values(values: tuple[str, ...]) -> str:
     return "(VALUES " + ", ".join(f"({_text(v)})" for v in values) + ")"
 
 
-_GT = """CASE WHEN g < 10 THEN '0|1' WHEN g < 20 THEN '1|0' WHEN g < 26 THEN '1|1' WHEN g < 32 THEN '0|0' WHEN g = 32 THEN '.|.' WHEN g = 33 THEN '.'
+_GT = """CASE WHEN g < 4 AND sample_idx = 3 THEN '0|1|1' WHEN g < 10 THEN '0|1' WHEN g < 20 THEN '1|0' WHEN g < 26 THEN '1|1' WHEN g < 32 THEN '0|0' WHEN g = 32 THEN '.|.' WHEN g = 33 THEN '.'
  WHEN g = 34 THEN '0|9' WHEN g = 35 THEN '-1|0' WHEN g = 36 THEN 'ABC' WHEN g = 37 THEN '0|' WHEN g = 38 THEN '0/1' ELSE '1/0' END"""
 
 #: Named views; a query takes those it needs, in this order.
@@ -25,7 +25,7 @@ _VIEWS = {
  string_agg(translate(md5(n_nationkey || ':' || i), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY i) AS seq
  FROM nation, range(512) t(i) GROUP BY n_nationkey""",
     "placed": """SELECT CAST(o_orderkey AS BIGINT) AS k, 'chr' || (o_orderkey % 25) AS contig, (o_orderkey * 7919) % 16384 AS x,
- CASE WHEN o_orderkey % 7 = 0 THEN 2 + o_orderkey % 5 ELSE 1 END AS reflen FROM orders""",
+ CASE WHEN o_orderkey % 1009 = 0 THEN 4200 + o_orderkey % 7 WHEN o_orderkey % 7 = 0 THEN 2 + o_orderkey % 5 ELSE 1 END AS reflen FROM orders""",
     "based": """SELECT p.*, CAST(CASE WHEN k % 101 = 0 THEN 16384 WHEN k % 103 = 0 THEN 16390 ELSE 1 + x - x % 32 + x % 3 END AS BIGINT) AS pos FROM placed p""",
     "spelled": """SELECT b.k, b.contig, b.pos, coalesce(substr(r.seq, b.pos, b.reflen), '') AS rb FROM based b LEFT JOIN ref r ON r.contig = b.contig""",
     "rec": """SELECT contig, k, pos, row_number() OVER (PARTITION BY contig ORDER BY pos, k) AS rec_ord,
@@ -42,7 +42,7 @@ _VIEWS = {
  WHEN upper(ref_) <> upper(substr(r.seq, c.pos, length(ref_))) THEN 'ref_mismatch' END AS reason,
  CASE WHEN alt = '.' THEN [ref_] ELSE list_concat([ref_], string_split(alt, ',')) END AS alleles
  FROM rec c JOIN ref r ON r.contig = c.contig""",
-    "cand": "SELECT contig, rec_ord, start_, end_, alleles, pos, ref_, alt FROM checked WHERE reason IS NULL",
+    "cand": "SELECT contig, rec_ord, k, start_, end_, alleles, pos, ref_, alt FROM checked WHERE reason IS NULL",
     "picked": """SELECT contig, min(rec_ord) AS rec_ord, arg_min(end_, rec_ord) AS cursor_ FROM cand GROUP BY contig
  UNION ALL
  SELECT p.contig, min(c.rec_ord), arg_min(c.end_, c.rec_ord) FROM picked p JOIN cand c ON c.contig = p.contig AND c.rec_ord > p.rec_ord AND c.start_ >= p.cursor_ GROUP BY p.contig""",
@@ -86,7 +86,7 @@ _VIEWS = {
 _LADDER = "CASE " + " ".join(f"WHEN contains(message, {_text(p)}) THEN {_text(r)}" for p, r in WARNING_REASONS) + " ELSE 'other' END"
 
 _FINAL = {
-    "vcf_parse_records": "SELECT contig, rec_ord, pos, ref_ AS ref, alt, CAST(4 AS BIGINT) AS n_samples, CASE WHEN ref_ = '.' THEN 'malformed_record' ELSE '' END AS malformed FROM rec",
+    "vcf_parse_records": "SELECT contig, rec_ord, pos, CASE WHEN k % 3 = 0 THEN 'rs' || k ELSE '.' END AS id, ref_ AS ref, alt, CAST(k % 100 AS VARCHAR) AS qual, CASE WHEN k % 2 = 0 THEN 'PASS' ELSE 'q10' END AS filter, 'K=' || k AS info, CAST(4 AS BIGINT) AS n_samples, CASE WHEN ref_ = '.' THEN 'malformed_record' ELSE '' END AS malformed FROM rec",
     "gt_extract": "SELECT contig, rec_ord, sample_idx, string_split(field, ':')[1] AS gt FROM fields",
     "gt_parse_alleles": """SELECT contig, rec_ord, sample_idx, CASE WHEN regexp_matches(gt, '^([+-]?[0-9]+|\\.)([/|]([+-]?[0-9]+|\\.))*$')
  THEN array_to_string(list_transform(regexp_split_to_array(gt, '[/|]'), lambda t: CASE WHEN t = '.' OR t LIKE '-%' THEN '.' ELSE t END), ',') ELSE 'malformed' END AS alleles FROM fields""",
@@ -107,11 +107,51 @@ _FINAL = {
  JOIN (SELECT contig, sum(max_ploidy) AS files FROM ploidies GROUP BY contig) f ON f.contig = s.contig GROUP BY ROLLUP (s.contig)""",
     "sample_ploidy": "SELECT contig, sample_idx, CAST(max_ploidy AS BIGINT) AS max_ploidy, variable, phased, unphased FROM ploidies",
     "contig_profile": "SELECT contig, variants, haplotypes, max_ploidy, phased, unphased, variable FROM profile",
-    "workload_profile": """SELECT v.variants, v.snv, v.indel, p.haplotypes, p.phased, p.unphased FROM
- (SELECT count(*) AS variants, count(*) FILTER (kind = 'snv') AS snv, count(*) FILTER (kind = 'indel') AS indel FROM
- (SELECT CASE WHEN length(ref_) = 1 AND len(list_filter(string_split(alt, ','), lambda a: length(a) <> 1 OR a = '.')) = 0 THEN 'snv' ELSE 'indel' END AS kind FROM rec WHERE ref_ <> '.')) v,
+    "workload_profile": """SELECT v.variants, v.malformed, v.snv, v.indel, p.haplotypes, p.phased, p.unphased FROM
+ (SELECT count(*) FILTER (ref_ <> '.') AS variants, count(*) FILTER (ref_ = '.') AS malformed, count(*) FILTER (ref_ <> '.' AND kind = 'snv') AS snv, count(*) FILTER (ref_ <> '.' AND kind = 'indel') AS indel FROM
+ (SELECT ref_, CASE WHEN length(ref_) = 1 AND len(list_filter(string_split(alt, ','), lambda a: length(a) <> 1 OR a = '.')) = 0 THEN 'snv' ELSE 'indel' END AS kind FROM rec)) v,
  (SELECT CAST(sum(m) AS BIGINT) AS haplotypes, CAST(sum(ph) AS BIGINT) AS phased, CAST(sum(un) AS BIGINT) AS unphased FROM
- (SELECT max(max_ploidy) AS m, sum(phased) AS ph, sum(unphased) AS un FROM ploidies GROUP BY sample_idx)) p""",
+ (SELECT max(ploidy) AS m, count(*) FILTER (contains(gt, '|')) AS ph, count(*) FILTER (contains(gt, '/') AND NOT contains(gt, '|')) AS un FROM gts GROUP BY sample_idx)) p""",
+    "legacy_route": """WITH parts AS (SELECT 'whole' AS part, 4 AS n, * FROM gts UNION ALL SELECT 'diploid', 3, * FROM gts WHERE sample_idx < 3 AND regexp_matches(gt, '^[01]/[01]$')
+ UNION ALL SELECT 'one', 1, * FROM gts WHERE sample_idx = 0 UNION ALL SELECT 'phased', 4, * FROM gts WHERE gt = '0|1'),
+ each AS (SELECT part, n, sample_idx, coalesce(max(ploidy) FILTER (valid), 2) AS top, coalesce(min(ploidy) FILTER (valid), 2) AS low, count(*) FILTER (contains(gt, '/')) AS unphased FROM parts GROUP BY ALL)
+ SELECT part, CASE WHEN sum(unphased) = 0 THEN 'none' WHEN n = 1 THEN 'canonical' WHEN bool_or(top <> low) THEN 'variable-ploidy' WHEN bool_and(top = 2) THEN 'beagle' ELSE 'whatshap' END AS backend FROM each GROUP BY part, n""",
+    "file_ploidy": "SELECT sample_idx, CAST(coalesce(max(ploidy) FILTER (valid), 2) AS BIGINT) AS max_ploidy FROM gts GROUP BY sample_idx",
+    "global_haplotypes": "SELECT contig, CAST(row_number() OVER (PARTITION BY contig ORDER BY sample_idx, hap) - 1 AS BIGINT) AS global_hap, sample_idx, hap FROM haps",
+    "run_slice": "SELECT contig, rec_ord, pos, field FROM fields WHERE contig = 'chr3' AND sample_idx = 3 AND pos BETWEEN 2000 AND 12000",
+    "group_merge": """WITH own AS (SELECT contig, pos, ref_ AS ref, alt, sample, gt FROM gts WHERE contig = 'chr3' AND CASE WHEN sample = 'S3' THEN pos % 3 <> 1 ELSE pos % 3 <> 0 END)
+ SELECT s.contig, s.pos, s.ref, s.alt, t.sample, coalesce(min(o.gt), './.') AS gt FROM (SELECT DISTINCT contig, pos, ref, alt FROM own) s CROSS JOIN (SELECT DISTINCT sample FROM own) t
+ LEFT JOIN own o ON o.contig = s.contig AND o.pos = s.pos AND o.ref = s.ref AND o.alt = s.alt AND o.sample = t.sample GROUP BY ALL""",
+    "ploidy_intervals": "SELECT DISTINCT contig, pos, CAST(CASE WHEN pos <= 5000 THEN 2 WHEN pos <= 9000 THEN 3 WHEN pos <= 15000 THEN 4 END AS BIGINT) AS ploidy FROM rec",
+    "prefilter_counts": """SELECT count(*) FILTER (ref_ <> '.' AND contig_ord < 20 AND reason IS NULL) AS kept, count(*) FILTER (ref_ <> '.' AND contig_ord >= 20) AS dropped_contig,
+ count(*) FILTER (ref_ = '.' OR (contig_ord < 20 AND reason IS NOT NULL)) AS dropped_invalid FROM checked c JOIN ref r ON r.contig = c.contig""",
+    "warning_log": """WITH every AS (SELECT w.*, r.contig_ord FROM warned w JOIN ref r ON r.contig = w.contig)
+ SELECT 'WARNING [' || contig || ':' || rec_ord || ']' || CASE WHEN sample_idx IS NULL THEN '' ELSE ' sample ' || sample_idx END || ' ' || reason AS value
+ FROM (SELECT *, row_number() OVER (ORDER BY contig_ord, rec_ord, coalesce(sample_idx, -1), reason) AS nth FROM every) WHERE nth <= 500
+ UNION ALL SELECT '# warnings log reached 500 lines; further warnings suppressed' FROM every HAVING count(*) > 500""",
+    "run_log": """WITH seen AS (SELECT contig, count(*) FILTER (ref_ <> '.') AS seen, (SELECT count(*) FROM picked p WHERE p.contig = c.contig) AS applied FROM checked c GROUP BY contig),
+ done AS (SELECT s.*, p.haplotypes, p.variants, CASE WHEN unphased = 0 OR max_ploidy <= 1 THEN 'none' WHEN n_samples = 1 THEN 'canonical' WHEN variable THEN 'variable-ploidy' WHEN diploid THEN 'beagle' ELSE 'whatshap' END AS backend
+ FROM seen s JOIN profile p ON p.contig = s.contig)
+ SELECT contig, 'DISCOVERY' AS tag, contig || ': ' || variants || ' records, ' || haplotypes || ' haplotypes' AS value FROM done
+ UNION ALL SELECT contig, CASE WHEN backend IN ('none', 'canonical') THEN 'READY' ELSE 'PHASING' END, contig || ': ' || backend FROM done
+ UNION ALL SELECT contig, 'COMPLETE', contig || ': ' || seen || ' seen, ' || applied || ' applied, ' || haplotypes || ' haplotypes' FROM done
+ UNION ALL SELECT NULL, 'SUMMARY', count(*) || ' contigs, ' || sum(seen) || ' seen, ' || sum(applied) || ' applied, ' || sum(haplotypes) || ' haplotypes' FROM done""",
+    "reference_slice": "SELECT contig, i * 3777 AS start, length(s) AS length, md5(s) AS md5 FROM (SELECT contig, i, substr(seq, i * 3777 + 1, 4500) AS s FROM ref, range(5) t(i))",
+    "region_sequences": """WITH edge AS (SELECT * FROM applied WHERE contig = 'chr7'),
+ parts AS (SELECT h.sample, h.hap, a.start_ AS spot, substr(r.seq, greatest(g.gap_start, 4000) + 1, a.start_ - greatest(g.gap_start, 4000)) ||
+ CASE c.code WHEN -2 THEN 'N' WHEN -1 THEN substr(r.seq, c.start_ + 1, 1) ELSE c.allele END AS part
+ FROM edge a JOIN gaps g ON g.contig = a.contig AND g.ord = a.rec_ord JOIN ref r ON r.contig = a.contig JOIN haps h ON h.contig = a.contig
+ JOIN called c ON c.contig = a.contig AND c.rec_ord = a.rec_ord AND c.sample_idx = h.sample_idx AND c.hap = h.hap WHERE a.start_ >= 4000 AND a.start_ < 9000
+ UNION ALL SELECT h.sample, h.hap, 9000, substr(r.seq, t.last + 1, greatest(0, 9000 - t.last)) FROM haps h JOIN ref r ON r.contig = h.contig,
+ (SELECT greatest(4000, coalesce(max(end_), 0)) AS last FROM edge WHERE start_ < 9000) t WHERE h.contig = 'chr7')
+ SELECT 'chr7' AS contig, sample, hap, length(seq) AS length, md5(seq) AS md5 FROM (SELECT sample, hap, string_agg(part, '' ORDER BY spot) AS seq FROM parts GROUP BY ALL)""",
+    "truth_haplotypes": """WITH edits AS (SELECT c.*, row_number() OVER w AS nth, coalesce(lag(end_) OVER w, 0) AS before FROM called c WHERE code > 0 WINDOW w AS (PARTITION BY contig, sample_idx, hap ORDER BY start_)),
+ parts AS (SELECT e.contig, e.sample, e.hap, e.start_ AS spot, substr(r.seq, before + 1, start_ - before) || allele AS part FROM edits e JOIN ref r ON r.contig = e.contig
+ UNION ALL SELECT h.contig, h.sample, h.hap, 16385, substr(any_value(r.seq), coalesce(max(e.end_), 0) + 1) FROM haps h JOIN ref r ON r.contig = h.contig
+ LEFT JOIN edits e ON e.contig = h.contig AND e.sample_idx = h.sample_idx AND e.hap = h.hap GROUP BY h.contig, h.sample, h.hap)
+ SELECT contig, sample, hap, length(seq) AS length, md5(seq) AS md5 FROM (SELECT contig, sample, hap, string_agg(part, '' ORDER BY spot) AS seq FROM parts GROUP BY ALL)""",
+    "length_attribution": """SELECT contig, sample_idx, hap, rec_ord, delta FROM (SELECT *, CASE WHEN code >= 0 THEN length(allele) ELSE 1 END - (end_ - start_) AS delta FROM called) WHERE delta <> 0""",
+    "unexplained_lengths": "SELECT contig, sample_idx, hap, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS expected FROM haps WHERE false",
     "phase_route": """SELECT contig, backend, backend NOT IN ('none', 'canonical') AS needs_phasing FROM
  (SELECT contig, CASE WHEN unphased = 0 OR max_ploidy <= 1 THEN 'none' WHEN n_samples = 1 THEN 'canonical' WHEN variable THEN 'variable-ploidy' WHEN diploid THEN 'beagle' ELSE 'whatshap' END AS backend FROM profile)""",
     "any_unphased": "SELECT bool_or(contains(gt, '/')) AS any_unphased FROM gts",
@@ -126,11 +166,11 @@ _FINAL = {
  ON p.contig = g.contig AND p.pos = g.pos AND p.sample = g.sample""",
     "sample_subset": "SELECT contig, rec_ord, string_agg(field, chr(9) ORDER BY sample_idx DESC) || chr(9) || '.' AS columns FROM fields WHERE sample_idx IN (0, 2) GROUP BY contig, rec_ord",
     "region_scan": "SELECT contig, rec_ord, pos, ref_ AS ref FROM rec WHERE contig = 'chr7' AND pos - 1 < 9000 AND pos - 1 + length(ref_) > 4000",
-    "clean_gt": """SELECT c.contig, c.rec_ord, concat_ws(chr(9), c.contig, c.pos, '.', c.ref_, c.alt, '.', '.', '.', 'GT', string_agg(
- CASE WHEN NOT g.valid THEN array_to_string(list_transform(range(p.max_ploidy), lambda i: '0'), '|')
+    "clean_gt": """SELECT c.contig, c.rec_ord, concat_ws(chr(9), c.contig, c.pos, CASE WHEN k % 3 = 0 THEN 'rs' || k ELSE '.' END, c.ref_, c.alt, k % 100, CASE WHEN k % 2 = 0 THEN 'PASS' ELSE 'q10' END, 'K=' || k, 'GT', string_agg(
+ CASE WHEN NOT g.valid THEN array_to_string(list_transform(range(p.top), lambda i: '0'), '|')
  ELSE array_to_string(list_transform(g.tokens, lambda t: CASE WHEN t = '.' OR t LIKE '-%' OR CAST(t AS INT) >= len(c.alleles) THEN '.' ELSE t END), '|') END, chr(9) ORDER BY g.sample_idx)) AS line
- FROM cand c JOIN gts g ON g.contig = c.contig AND g.rec_ord = c.rec_ord JOIN ploidies p ON p.contig = g.contig AND p.sample_idx = g.sample_idx
- GROUP BY c.contig, c.rec_ord, c.pos, c.ref_, c.alt""",
+ FROM cand c JOIN gts g ON g.contig = c.contig AND g.rec_ord = c.rec_ord JOIN (SELECT sample_idx, coalesce(max(ploidy) FILTER (valid), 2) AS top FROM gts GROUP BY sample_idx) p ON p.sample_idx = g.sample_idx
+ GROUP BY c.contig, c.rec_ord, c.pos, c.ref_, c.alt, c.k""",
     "sample_warnings": "SELECT contig, sample_idx, reason, count(*) AS n FROM warned WHERE sample_idx IS NOT NULL GROUP BY ALL",
     "first_warnings": """SELECT contig, count(*) AS stored, min(rec_ord) AS first_rec, max(rec_ord) AS last_rec FROM
  (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY rec_ord, sample_idx NULLS FIRST, reason) AS nth FROM warned) WHERE nth <= 100 GROUP BY contig""",
@@ -146,10 +186,11 @@ _FINAL = {
     "segment_offsets": """SELECT contig, sample, hap, ord, CAST(coalesce(sum(length(gap) + length(text)) OVER (PARTITION BY contig, sample, hap ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at,
  length(gap) + length(text) AS length FROM segs""",
     "hap_sequences": "SELECT contig, sample, hap, length(seq) AS length, md5(seq) AS md5 FROM seqs",
-    "fasta_lines": "SELECT sample || '_' || contig || ':' || hap AS name, i AS line, substr(seq, i * 80 + 1, 80) AS text FROM seqs, range(400) t(i) WHERE i * 80 < length(seq)",
-    "merged_fasta": """SELECT sample, hap, length(text) AS length, md5(text) AS md5 FROM
- (SELECT s.sample, s.hap, string_agg('>' || s.sample || '_' || s.contig || ':' || s.hap || chr(10) || regexp_replace(s.seq, '(.{1,80})', '\\1' || chr(10), 'g'), '' ORDER BY r.contig_ord) AS text
- FROM seqs s JOIN ref r ON r.contig = s.contig GROUP BY s.sample, s.hap)""",
+    "fasta_lines": "SELECT sample || '_' || contig || ':' || hap AS name, i AS line, substr(seq, i * 80 + 1, 80) AS text FROM seqs, range(500) t(i) WHERE i * 80 < length(seq)",
+    "merged_fasta": """WITH long AS (SELECT s.sample, s.hap, s.contig, s.seq, coalesce(sum(1 + ceil(length(s.seq) / 80.0)) OVER (PARTITION BY s.sample, s.hap ORDER BY r.contig_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head
+ FROM seqs s JOIN ref r ON r.contig = s.contig)
+ SELECT sample, hap, CAST(head AS BIGINT) AS line, '>' || sample || '_' || contig || ':' || hap AS text FROM long
+ UNION ALL SELECT sample, hap, CAST(head + 1 + i AS BIGINT), substr(seq, i * 80 + 1, 80) FROM long, range(500) t(i) WHERE i * 80 < length(seq)""",
     "chunk_plan": "SELECT contig, i * 5000 AS start, least(i * 5000 + 5000, 16384) AS \"end\" FROM ref, range(4) t(i)",
     "tile_plan": "SELECT contig, h * 3 AS hap_start, least(h * 3 + 3, 8) AS hap_end, i * 5000 AS base_start, least(i * 5000 + 5000, 16384) AS base_end FROM ref, range(4) t(i), range(3) u(h)",
     "chunk_pad": "SELECT CAST(greatest(2 * max(length(ref_)), 1000) AS BIGINT) AS pad FROM rec",
@@ -176,8 +217,6 @@ _FINAL = {
 
 def _with(sql: str) -> str:
     """The query behind the views it needs, directly or through others."""
-
-
     need: set[str] = set()
     todo = [sql]
     while todo:
@@ -187,7 +226,10 @@ def _with(sql: str) -> str:
                 need.add(name)
                 todo.append(body)
     views = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in _VIEWS if n in need)
-    return f"WITH RECURSIVE {views}\n{sql}" if views else sql
+    if not views:
+        return sql
+    # a query's own WITH goes on behind the views
+    return f"WITH RECURSIVE {views},\n{sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH RECURSIVE {views}\n{sql}"
 
 
 ORACLES = {name: _with(sql) for name, sql in _FINAL.items()}

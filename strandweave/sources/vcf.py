@@ -47,7 +47,7 @@ def read_header(lines: DataFrame) -> VcfHeader:
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """(contig, rec_ord, pos, ref, alt, format, samples, malformed) of record lines.
+    """(contig, rec_ord, pos, id, ref, alt, qual, filter, info, format, samples, malformed) of record lines.
 
     Header lines and lines with under nine fields are dropped silently. ``malformed`` has the
     reason why a line does not parse: an empty contig, a position that is no unsigned integer
@@ -60,7 +60,8 @@ def parse_records(lines: DataFrame) -> DataFrame:
     bad = F.when((f(0) == "") | pos.isNull(), "malformed_record").when(pos == 0, "invalid_pos").when((f(3) == "") | (f(3) == "."), "malformed_record")
     samples = F.slice("f", FIXED_COLUMNS + 1, F.greatest(F.size("f") - FIXED_COLUMNS, F.lit(0)))
     last = F.array_max(F.transform(samples, lambda s, i: F.when(s != "", i + 1).otherwise(0)))
-    return split.select(f(0).alias("contig"), F.col("ord").alias("rec_ord"), pos.alias("pos"), f(3).alias("ref"), f(4).alias("alt"), f(8).alias("format"), F.slice(samples, F.lit(1), F.coalesce(last, F.lit(0))).alias("samples"), bad.alias("malformed"))
+    named = [f(i).alias(c) for i, c in ((2, "id"), (3, "ref"), (4, "alt"), (5, "qual"), (6, "filter"), (7, "info"), (8, "format"))]
+    return split.select(f(0).alias("contig"), F.col("ord").alias("rec_ord"), pos.alias("pos"), *named, F.slice(samples, F.lit(1), F.coalesce(last, F.lit(0))).alias("samples"), bad.alias("malformed"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> tuple[VcfHeader, DataFrame]:
@@ -76,3 +77,20 @@ def used_contigs(header: VcfHeader, records: DataFrame, ref_contigs: DataFrame,
     if not emit_variantless:
         used = used.join(records.select("contig").distinct(), "contig", "left_semi")
     return used.select("contig", "contig_ord"), named.join(used, "contig", "left_anti").select("contig", "contig_ord")
+
+
+def check_phased(spark: SparkSession, path: str, n_samples: int) -> None:
+    """Raises HeaderError unless a phaser's VCF has a ``#CHROM`` line with so many samples."""
+    header = read_header(file_lines(spark, path))
+    if len(header.samples) != n_samples:
+        raise HeaderError(f"{path} has {len(header.samples)} samples, {n_samples} are expected")
+
+
+def in_region(records: DataFrame, contig: str, start: int, end: int) -> DataFrame:
+    """Records whose REF touches [start, end), 0-based, of a contig: plain comparisons, which a partitioned store prunes by."""
+    return records.where((F.col("contig") == contig) & (F.col("pos") - 1 < end) & (F.col("pos") - 1 + F.length("ref") > start))
+
+
+def pick_samples(records: DataFrame, indexes: list[int]) -> DataFrame:
+    """Records with the sample columns of these indexes, in this order; ``.`` where a record has none."""
+    return records.withColumn("samples", F.transform(F.array(*map(F.lit, indexes)), lambda i: F.coalesce(F.get("samples", i), F.lit("."))))
