@@ -76,7 +76,7 @@ def _long_points(text: str) -> np.ndarray:
         letter = _letters()[raw]
         parts.append(np.where(letter, raw, 32).astype(np.uint32)[letter | np.append(open_, letter[:-1])])
         open_ = bool(letter[-1])
-    return np.concatenate([*parts, np.full(open_, 32, np.uint32)])
+    return np.concatenate([*parts, np.full(int(open_), 32, np.uint32)])
 
 
 def ngram_buckets(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
