@@ -47,8 +47,8 @@ ORDER_BITS = 22
 #: Hashes that a task gathers before it reports those that recur, or its regions.
 _FLUSH = 1 << 22
 _HOT = 3
-#: Bits of a set's signature.
-SIGNATURE = 512
+#: Bits of a set's signature, and the shingles from which it has more: (shingles below which they hold, bits).
+SIGNATURES = ((1024, 512), (8192, 4096), (float("inf"), 32768))
 #: A shingle that recurs 2 ** SALT_LEVEL times or more is dealt to several tasks.
 SALT_LEVEL = 12
 #: Classes of a small region; document pivots of a large one; turns of choosing hubs, and their number.
@@ -71,11 +71,20 @@ def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
     return doc, value, n, x.view(np.int64), f1.view(np.int64)
 
 
+def _signatures(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Each text's signature as a list of 64-bit words."""
+    bits = np.select([n < most for most, _ in SIGNATURES], [b for _, b in SIGNATURES])
+    edge = np.cumsum(np.append(0, bits))
+    place = edge[:-1][doc] + (value & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=edge[-1]) & 1
+    return pa.ListArray.from_arrays(pa.array(edge // 64, pa.int32()), pa.array(np.packbits(odd.astype(bool)).view(np.int64)))
+
+
 def _survey(docs: DataFrame, k: int) -> DataFrame:
     """One pass: (uid, n, x, f, sig) of each row of ``docs`` (uid, text), and (h, times) of shingles that recur in a task's share.
 
-    ``sig`` is the parity of a set's shingles in each of SIGNATURE hash buckets: two sets differ
-    in at least as many shingles as their signatures in bits.
+    ``sig`` is the parity of a set's shingles in each of its hash buckets (``SIGNATURES``): two
+    sets differ in at least as many shingles as their signatures in bits.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +104,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 doc, value, n, x, f = _sets(part, k)
-                odd = np.bincount(doc * SIGNATURE + (value & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=part.num_rows * SIGNATURE) & 1
-                words = np.packbits(odd.astype(bool)).view(np.int64)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * (SIGNATURE // 64), pa.int32()), pa.array(words))
+                sig = _signatures(doc, value, n)
                 none = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(n, pa.int64()), pa.array(x), pa.array(f), sig, none, none], names=names)
                 held.append(value)
@@ -247,7 +254,9 @@ def _alike(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
     known = cut(signatures.join(_small(ends), "x", "left_semi").dropDuplicates(["x"]))
     known = _small(known)
     one, two = (known.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in ("a", "b"))
-    bits = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    # signatures of unlike lengths, of sizes on both sides of a bound, tell nothing
+    bits = F.when(F.size("sa") == F.size("sb"), differ).otherwise(0)
     met = pairs.join(one, "a").join(two, "b")
     return met.where(bits <= F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), t)).select("a", "b")
 
@@ -262,10 +271,11 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, na, nb) of distinct pairs, which are written already. Only sets that they name are shuffled."""
 
     def of(side: str) -> DataFrame:
-        named = pairs.select(F.col(side).alias("x")).distinct()
-        return sets.join(_small(named), "x", "left_semi").select(F.col("x").alias(side), F.col("items").alias(f"i{side}"))
+        return sets.select(F.col("x").alias(side), F.col("items").alias(f"i{side}"))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select(
+    named = _small(pairs.select("b").distinct())
+    # while pairs are few they are sent to the first side's sets, which then stay where they are
+    return of("a").join(_small(pairs), "a").join(of("b").join(named, "b", "left_semi"), "b").select(
         "a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"), F.size("ia").cast("long").alias("na"), F.size("ib").cast("long").alias("nb")
     )
 
@@ -279,9 +289,9 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     held = cut(sets.join(F.broadcast(named), "x", "left_semi"))
     if (held.agg(F.sum(F.size("items"))).first()[0] or 0) > BROADCAST_ITEMS:
         return _measured(cut(ends.select("a", "b").distinct()), sets)
-    members = sets.join(_small(pairs.select("x").distinct()), "x", "left_semi").select("x", F.col("items").alias("ix"))
+    members = sets.select("x", F.col("items").alias("ix"))
     pivot = F.broadcast(held.select(F.col("x").alias("p"), F.col("items").alias("ip")))
-    met = ends.dropDuplicates(["a", "b"]).join(members, "x").join(pivot, "p")
+    met = members.join(_small(cut(ends.dropDuplicates(["a", "b"]))), "x").join(pivot, "p")
     size = lambda end, other: F.when(F.col("x") == F.col(end), F.size("ix")).otherwise(F.size("ip")).cast("long").alias(other)
     return met.select("a", "b", F.size(F.array_intersect("ix", "ip")).cast("long").alias("inter"), size("a", "na"), size("b", "nb"))
 

@@ -91,6 +91,22 @@ def test_jaccard_many_unlike_sets_in_one_region(spark, shared, k, percent):
     assert got == brute_jaccard(rows, k, percent)
 
 
+def test_jaccard_of_long_sets_around_the_signatures_bounds(spark):
+    """Near and far copies of 1000 to 1040 and 8150 to 8250 words, and chance shingles between strangers."""
+    rng = random.Random(6)
+    rows = []
+    for size in (1000, 8150):
+        for f in range(6):
+            base = [f"w{rng.randrange(3000)}" for _ in range(size + size // 25)]
+            for j in range(4):
+                words = base[: size + rng.randrange(size // 25)]
+                for _ in range(rng.randrange(size // 40)):
+                    words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+                rows.append((len(rows), " ".join(words)))
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, DOCS), k=2, percent=85).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute_jaccard(rows, 2, 85)
+
+
 def test_jaccard_odd_input(spark):
     long = " ".join(f"w{i}" for i in range(400_000)) + " " + "z" * 3_000_000
     rows = [(1, long, 5), (2, "\n" + long.upper(), 6), (3, "a b c d e f", 7), (3, "g h i j k l", 8), (4, "g h i j k l m", 9), (5, "A  b c d e f", 1)]
