@@ -252,7 +252,6 @@ def _alike(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
     """``pairs`` whose signatures don't differ in more bits than linked sets could in shingles."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
     known = cut(signatures.join(_small(ends), "x", "left_semi").dropDuplicates(["x"]))
-    known = _small(known)
     one, two = (known.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in ("a", "b"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
     # signatures of unlike lengths, of sizes on both sides of a bound, tell nothing
