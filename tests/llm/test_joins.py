@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import queries, substring_dedup
+from strandweave.llm import embedding_dedup, queries, substring_dedup
 from strandweave.llm.embedding_dedup import embedding_components
 from strandweave.llm.graph import connected_components
 from strandweave.llm.jaccard_join import jaccard_components
@@ -180,6 +180,27 @@ def test_embeddings_pairs_in_one_cone(spark):
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values())
 
 
+def test_embeddings_tables_one_by_one_and_steps_along_one_direction(spark, monkeypatch):
+    """Tables beyond PASS_BYTES are dealt one by one; pairs at the threshold that all differ along one axis are found."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3000, 64))
+    base[:, 0] = 0
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    twins = 0.9501 * base
+    twins[:, 0] = np.sqrt(1 - 0.9501**2)
+    group = np.ones(64) / 8 + 0.004 * rng.normal(size=(300, 64))
+    rows = list(enumerate([*base.tolist(), *twins.tolist(), *group.tolist(), *base[:50].tolist()]))
+    want = {r[0]: r[1] for r in brute_vectors(rows)}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = []
+    for size in (1 << 40, 0):
+        monkeypatch.setattr(embedding_dedup, "PASS_BYTES", size)
+        got.append({r["vec_id"]: tuple(r) for r in embedding_components(vectors, cells=200, block_rows=100).collect()})
+    assert got[0] == got[1] and all(r[1] <= want[i] for i, r in got[0].items())
+    assert sum(r[1] for r in got[0].values()) >= 0.999 * sum(want.values())
+    assert sum(got[0][i][1] for i in range(6000)) >= 0.999 * sum(want[i] for i in range(6000))
+
+
 def test_embeddings_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, []), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.01]), (10, [1.0, None]), (11, [-1.0, 0.0])]
