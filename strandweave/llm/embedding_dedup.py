@@ -47,6 +47,8 @@ ROWS_PER_CELL, TABLES, TABLE_ROWS = 256, 32, 4096
 BLOCK_ROWS, TILE = 4096, 1024
 #: Tables are dealt together while their rows take no more; beyond it one by one.
 PASS_BYTES = 1 << 28
+#: Rows up to which a list is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 #: Links missed at the threshold, as a normal value's tail beyond so many standard deviations; None is exact.
 MARGIN_SD = 3.5
 
@@ -119,6 +121,11 @@ def fit_tables(unit: np.ndarray, total: int, threshold: float, margin_sd: float
     return chosen
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, which are written already, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _forest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The least id of each row's component under the links between rows ``left`` and ``right``."""
     top = ids.copy()
@@ -304,16 +311,18 @@ def embedding_components(
         del dealt, here
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    known = classes.select("x", "cid", "copies")
+    # mostly few: only classes that something links are dealt again, any other vector is its own component
+    direct = _few(cut(found.groupBy("x").agg(F.sum("linked").alias("linked"))))
+    known = _few(cut(classes.select("x", "cid").join(direct.select("x"), "x")))
     edges = found.where("x <> y").join(known.select("x", F.col("cid").alias("a")), "x").join(known.select(F.col("x").alias("y"), F.col("cid").alias("b")), "y").select("a", "b")
     # vectors that share an id hold together by it
-    shared = keyed.where("ok").select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).where("vec_id <> cid").select(F.col("vec_id").alias("a"), F.col("cid").alias("b")).distinct()
-    component = connected_components(edges.unionByName(shared))
-    direct = found.groupBy("x").agg(F.sum("linked").alias("linked"))
-    told = classes.select("h1", "h2", "cid", "copies", "x").join(direct, "x", "left").join(component, F.col("cid") == F.col("id"), "left")
-    told = told.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"), F.coalesce("component", "cid").alias("c"))
+    repeated = _few(cut(classes.where("copies > 1").select("h1", "h2", "cid")))
+    shared = keyed.where("ok").select("vec_id", "h1", "h2").join(repeated, ["h1", "h2"]).where("vec_id <> cid").select(F.col("vec_id").alias("a"), F.col("cid").alias("b")).distinct()
+    component = _few(cut(connected_components(edges.unionByName(shared)).withColumnRenamed("id", "cid")))
+    told = classes.select("h1", "h2", "cid", "copies", "x").join(direct, "x", "left").join(component, "cid", "left").where("copies > 1 or linked is not null or component is not null")
+    told = cut(told.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"), F.coalesce("component", "cid").alias("c")))
     return (
-        keyed.join(told, ["h1", "h2"], "left")
+        keyed.join(_few(told), ["h1", "h2"], "left")
         .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
