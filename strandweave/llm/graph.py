@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a checkpoint up to which it is read by few tasks, and how many; links up to which the driver follows them.
+FEW_BYTES, FEW_TASKS, FEW_LINKS = 1 << 22, 8, 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (local tests)."""
@@ -31,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """:func:`cut`, and what is small is read by few tasks, however many wrote it.
+
+    In a chain of many steps on small tables the tasks themselves are most of the work.
+    """
+    out = cut(df)
+    spark = df.sparkSession
+    path = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if path.isEmpty():
+        return out
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.get())
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return out.coalesce(FEW_TASKS) if size <= FEW_BYTES else out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever Hadoop's file systems have it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,11 +70,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star steps: each links a node's neighbours to the
     least of them, by a minimum with partial aggregation and a join, so no neighbour list
-    is ever gathered. Rounds grow with the logarithm of the longest path.
+    is ever gathered. Rounds grow with the logarithm of the longest path. Up to FEW_LINKS
+    links are followed on the driver.
     """
-    current = cut(
+    current = compact(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
+    if current.count() <= FEW_LINKS:
+        return _followed(current)
     seen = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,6 +101,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(tops)
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """:func:`connected_components` of few links (u, v), which the driver holds."""
+    held = links.toArrow()
+    ids, place = np.unique(np.concatenate([held["u"].to_numpy(), held["v"].to_numpy()]), return_inverse=True)
+    u, v = place[: held.num_rows], place[held.num_rows :]
+    top = np.arange(len(ids))
+    while len(u):
+        # trees: each root of a linked pair goes below the lesser one, then every row goes to its root
+        a, b = top[u], top[v]
+        if (a == b).all():
+            break
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+    found = pa.table({"id": pa.array(ids.astype(np.int64)), "component": pa.array(ids[top].astype(np.int64))})
+    return links.sparkSession.createDataFrame(found)
+
+
 def neighbour_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id within two steps of links, then that id's own least.
 

@@ -21,8 +21,8 @@ Distances are ``1 - J``, a metric. Equal sets are one class and are joined once.
    of its nearest pivot document and, inside the triangle window of ``2 (1 - t)``, to those
    of the others; a cell is cut by pivots of one more shingle, ``{s, s'}``, with s' among
    the next in the order that a linked pair could share. The regions made this way go
-   through 2 to 4 again. Where cutting doesn't at least halve a region's pairs (a family of
-   sets that are all half alike), its pairs that meet the triangle inequality for every
+   through 2 to 4 again. Where cutting makes more rows than the region has pairs, or doesn't
+   at least halve these (a family of sets that are all half alike), its pairs that meet the triangle inequality for every
    pivot and are not yet connected are compared.
 
 Results are whole: every document, every component, whatever the size of a group. Counts,
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.graph import connected_components, cut, neighbour_labels
+from strandweave.llm.graph import compact, connected_components, neighbour_labels
 from strandweave.llm.textkit import chunks, distinct_pairs, mix64, scan_words, shingles
 
 #: Size of the table of recurring shingles: 2 ** ORDER_BITS bytes, whatever the input.
@@ -204,22 +204,22 @@ def _shared(rows: DataFrame, t: float) -> DataFrame:
     ends = rows.withColumns({k: v.over(here) for k, v in held.items()}).where("salt > 0 or x0 <> x1")
     other = (F.col("ns") - F.col("n")).cast("int"), (F.col("ps") - F.col("pos")).cast("int")
     ends = ends.where((F.col("salt") > 0) | (F.col("rows") > 2) | _possible(F.col("n"), F.col("pos"), *other, 1, t))
-    kept = cut(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]).withColumn("c", F.count(F.lit(1)).over(here)))
+    kept = compact(ends.select("rid", "salt", "x", "n", "pos").dropDuplicates(["rid", "salt", "x"]).withColumn("c", F.count(F.lit(1)).over(here)))
     plain = kept.where("salt = 0").drop("salt")
     salted = kept.where("salt > 0")
     if salted.isEmpty():
         return plain
     frequent = salted.groupBy("rid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("c")).where("x0 <> x1").select("rid", "c")
-    return cut(plain.unionByName(salted.drop("salt", "c").join(frequent, "rid")))
+    return compact(plain.unionByName(salted.drop("salt", "c").join(frequent, "rid")))
 
 
 def _sets_of(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, table) -> DataFrame:
     """(x, items) of wanted nodes, each read from the text of its least id."""
-    wanted = cut(wanted)
-    ids = cut(rows.where("uid is not null").join(wanted, "x", "left_semi").groupBy("x").agg(F.min("uid").alias("uid")).select("uid").distinct())
+    wanted = compact(wanted)
+    ids = compact(rows.where("uid is not null").join(wanted, "x", "left_semi").groupBy("x").agg(F.min("uid").alias("uid")).select("uid").distinct())
     # rows that share an id may have other sets: those not wanted go
-    found = cut(_whole_sets(source.join(_small(ids), "uid", "left_semi"), k, table).join(_small(wanted), "x", "left_semi"))
-    return cut(found.dropDuplicates(["x"])) if found.count() > wanted.count() else found
+    found = compact(_whole_sets(source.join(_small(ids), "uid", "left_semi"), k, table).join(_small(wanted), "x", "left_semi"))
+    return compact(found.dropDuplicates(["x"])) if found.count() > wanted.count() else found
 
 
 def _needed(na: Column, nb: Column, t: float) -> Column:
@@ -251,7 +251,7 @@ def _candidates(rows: DataFrame, level: int, t: float, eps: float | None = None)
 def _alike(pairs: DataFrame, signatures: DataFrame, t: float) -> DataFrame:
     """``pairs`` whose signatures don't differ in more bits than linked sets could in shingles."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    known = cut(signatures.join(_small(ends), "x", "left_semi").dropDuplicates(["x"]))
+    known = compact(signatures.join(_small(ends), "x", "left_semi").dropDuplicates(["x"]))
     one, two = (known.select(F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in ("a", "b"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
     # signatures of unlike lengths, of sizes on both sides of a bound, tell nothing
@@ -285,12 +285,12 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     named = pairs.select(F.col("p").alias("x")).distinct()
     if not named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return _measured(ends.select("a", "b").distinct(), sets)
-    held = cut(sets.join(F.broadcast(named), "x", "left_semi"))
+    held = compact(sets.join(F.broadcast(named), "x", "left_semi"))
     if (held.agg(F.sum(F.size("items"))).first()[0] or 0) > BROADCAST_ITEMS:
-        return _measured(cut(ends.select("a", "b").distinct()), sets)
+        return _measured(compact(ends.select("a", "b").distinct()), sets)
     members = sets.select("x", F.col("items").alias("ix"))
     pivot = F.broadcast(held.select(F.col("x").alias("p"), F.col("items").alias("ip")))
-    met = members.join(_small(cut(ends.dropDuplicates(["a", "b"]))), "x").join(pivot, "p")
+    met = members.join(_small(compact(ends.dropDuplicates(["a", "b"]))), "x").join(pivot, "p")
     size = lambda end, other: F.when(F.col("x") == F.col(end), F.size("ix")).otherwise(F.size("ip")).cast("long").alias(other)
     return met.select("a", "b", F.size(F.array_intersect("ix", "ip")).cast("long").alias("inter"), size("a", "na"), size("b", "nb"))
 
@@ -323,7 +323,7 @@ def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
     The hubs are the member with the least mean distance to the pivots and, of those outside
     its component, up to OUTSIDE by hash.
     """
-    first = cut(placed.groupBy("rid").agg(F.min_by(F.struct("x", "comp"), F.struct(_mean("d"), "x")).alias("hub")))
+    first = compact(placed.groupBy("rid").agg(F.min_by(F.struct("x", "comp"), F.struct(_mean("d"), "x")).alias("hub")))
     outside = placed.join(first, "rid").where(F.col("comp") != F.col("hub.comp")).drop("hub")
     least = [F.min_by(F.struct("x", "comp"), F.xxhash64("x", F.lit(-1 - turn * OUTSIDE - i))).alias(f"p{i}") for i in range(OUTSIDE)]
     second = outside.groupBy("rid").agg(*least).select("rid", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(OUTSIDE)]))).alias("hub"))
@@ -331,12 +331,21 @@ def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
     return met.select("x", F.col("hub.x").alias("p")).distinct()
 
 
+def _cells(eps: float) -> Column:
+    """The cells of a member: its nearest pivot and those in its window."""
+    return F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.get("d", i) <= F.array_min("d") + 2 * eps + 1e-9)
+
+
+def _behind(level: int, t: float) -> Column:
+    """How many shingles behind the last shared one a linked set could share next."""
+    last = F.least(F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + level, F.col("n") - 1)
+    return F.greatest(last - F.col("pos"), F.lit(0)).cast("int")
+
+
 def _children(placed: DataFrame, sets: DataFrame, level: int, t: float, eps: float) -> DataFrame:
     """(parent, rid, x, n, pos): members by cell (nearest pivot and window) and by the next shingle."""
-    cells = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.get("d", i) <= F.array_min("d") + 2 * eps + 1e-9)
-    last = F.least(F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + level, F.col("n") - 1)
-    after = F.slice("items", F.col("pos") + 2, F.greatest(last - F.col("pos"), F.lit(0)).cast("int"))
-    spread = placed.join(sets, "x").select("rid", "x", "n", "pos", cells.alias("cells"), F.posexplode(after).alias("j", "item"))
+    after = F.slice("items", F.col("pos") + 2, _behind(level, t))
+    spread = placed.join(sets, "x").select("rid", "x", "n", "pos", _cells(eps).alias("cells"), F.posexplode(after).alias("j", "item"))
     return spread.select("rid", "x", "n", "pos", "j", "item", F.explode("cells").alias("cell")).select(
         F.col("rid").alias("parent"), F.xxhash64("rid", "cell", "item").alias("rid"), "x", "n", (F.col("pos") + 1 + F.col("j")).cast("int").alias("pos")
     )
@@ -375,7 +384,7 @@ def jaccard_components(
     t, eps = percent / 100, 1 - percent / 100
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).cast("string").alias("text"))
-    survey = cut(_survey(source, k))
+    survey = compact(_survey(source, k))
     table = spark.sparkContext.broadcast(_levels(survey.where("h is not null").select("h", "times")))
     rows = survey.where("h is null").select("uid", "n", "x", "f")
     filled = rows.where("n > 0 and uid is not null")
@@ -390,47 +399,49 @@ def jaccard_components(
     linked = F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))
     while True:
         large = sized.where(F.col("c") > leaf).drop("c")
-        pairs = cut(_alike(_candidates(sized.where(F.col("c") <= leaf), level, t).distinct(), signatures, t))
+        pairs = compact(_alike(_candidates(sized.where(F.col("c") <= leaf), level, t).distinct(), signatures, t))
         todo = large.limit(1).count() > 0
         if todo:
-            pivots = cut(_pivots(large, level))
-            to = cut(large.join(pivots, "rid").where("x <> p").select("x", "p").distinct())
+            pivots = compact(_pivots(large, level))
+            to = compact(large.join(pivots, "rid").where("x <> p").select("x", "p").distinct())
         if sets is None:
             # all that later levels need: they only cut these regions again
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).unionByName(large.select("x")).distinct()
             sets = _sets_of(source, rows, wanted, k, table)
         found = _measured(pairs, sets)
-        found = cut(found.unionByName(_to_pivots(to, sets)) if todo else found)
+        found = compact(found.unionByName(_to_pivots(to, sets)) if todo else found)
         near = found.where(linked).select("a", "b")
         links = near if links is None else links.unionByName(near)
         if not todo:
             break
-        links = cut(links.unionByName(_enough(large, level, t)).distinct())
-        placed = cut(_mixed(_distances(large, pivots, found, neighbour_labels(links))))
+        links = compact(links.unionByName(_enough(large, level, t)).distinct())
+        placed = compact(_mixed(_distances(large, pivots, found, neighbour_labels(links))))
         for turn in range(HUBS):
             # copies of one text are nearer to it than to each other: whoever is nearest to the pivots may link them
             more = _to_hubs(placed, turn)
-            more = cut(more.join(found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("p")), F.struct(F.col("b").alias("x"), F.col("a").alias("p")))).alias("q")).select("q.*"), ["x", "p"], "left_anti"))
+            more = compact(more.join(found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("p")), F.struct(F.col("b").alias("x"), F.col("a").alias("p")))).alias("q")).select("q.*"), ["x", "p"], "left_anti"))
             if more.isEmpty():
                 break
-            told = cut(_to_pivots(more, sets))
+            told = compact(_to_pivots(more, sets))
             found = found.unionByName(told)
-            links = cut(links.unionByName(told.where(linked).select("a", "b")))
-            placed = cut(_mixed(_labelled(placed.drop("comp"), connected_components(links))))
-        # sets that are much alike share most shingles, so cutting them again would only repeat them
-        spread = placed.groupBy("rid").agg(F.avg(_mean("d")).alias("mean"), F.count(F.lit(1)).cast("double").alias("c"))
-        children = cut(_children(placed.join(spread.where("mean >= 0.5"), "rid", "left_semi"), sets, level, t, eps))
-        sizes = cut(children.groupBy("parent", "rid").agg(F.count(F.lit(1)).alias("c")))
+            links = compact(links.unionByName(told.where(linked).select("a", "b")))
+            placed = compact(_mixed(_labelled(placed.drop("comp"), connected_components(links))))
+        # sets that are much alike share most shingles, so cutting them again would only repeat them;
+        # nor is a region cut where that makes more rows than it has pairs
+        spread = placed.groupBy("rid").agg(F.avg(_mean("d")).alias("mean"), F.count(F.lit(1)).cast("double").alias("c"), F.sum((F.size(_cells(eps)) * _behind(level, t)).cast("double")).alias("made"))
+        spread = compact(spread.withColumn("tried", F.expr("mean >= 0.5 and made * 2 <= c * (c - 1)")))
+        children = compact(_children(placed.join(spread.where("tried"), "rid", "left_semi"), sets, level, t, eps))
+        sizes = compact(children.groupBy("parent", "rid").agg(F.count(F.lit(1)).alias("c")))
         cost = sizes.groupBy("parent").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("cost"))
-        cuts = cut(spread.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", ((F.col("mean") >= 0.5) & (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c"))).alias("cuts")))
-        rest = cut(_alike(_candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct(), signatures, t).join(found, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(_measured(rest, sets).where(linked).select("a", "b")))
+        cuts = compact(spread.join(cost.withColumnRenamed("parent", "rid"), "rid", "left").select("rid", (F.col("tried") & (F.coalesce("cost", F.lit(0.0)) * 2 <= F.col("c") * F.col("c"))).alias("cuts")))
+        rest = compact(_alike(_candidates(placed.join(cuts.where("not cuts"), "rid", "left_semi"), level, t, eps).distinct(), signatures, t).join(found, ["a", "b"], "left_anti"))
+        links = compact(links.unionByName(_measured(rest, sets).where(linked).select("a", "b")))
         again = sizes.where("c > 1").join(cuts.where("cuts").select(F.col("rid").alias("parent")), "parent", "left_semi").select("rid", "c")
-        sized = cut(children.join(again, "rid").select("rid", "x", "n", "pos", "c"))
+        sized = compact(children.join(again, "rid").select("rid", "x", "n", "pos", "c"))
         level += 1
-    links = cut(links)
+    links = compact(links)
     # from nodes to ids: a node stands for its class's least id
-    ids = cut(classes.select("x", F.col("class_id").alias("uid")).join(links.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi"))
+    ids = compact(classes.select("x", F.col("class_id").alias("uid")).join(links.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "x", "left_semi"))
     by_id = links.join(ids.select(F.col("x").alias("a"), F.col("uid").alias("ua")), "a").join(ids.select(F.col("x").alias("b"), F.col("uid").alias("ub")), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))
     component = connected_components(by_id.unionByName(same_id))
     return (

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import embedding_dedup, queries, substring_dedup
+from strandweave.llm import embedding_dedup, graph, jaccard_join, queries, substring_dedup
 from strandweave.llm.embedding_dedup import embedding_components
 from strandweave.llm.graph import connected_components
 from strandweave.llm.jaccard_join import jaccard_components
@@ -133,6 +133,39 @@ def test_components(spark):
     assert all(want[k] == k for k in set(want) - set(got))
 
 
+def test_components_followed_by_the_driver_or_by_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(60)] + [(i + 1000, i + 999) for i in range(60, 0, -1)] + [(rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(400)]
+    want = components({x for p in links for x in p}, links)
+    edges = spark.createDataFrame(links, "a long, b long")
+    for few in (graph.FEW_LINKS, 0):
+        monkeypatch.setattr(graph, "FEW_LINKS", few)
+        got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+        assert {k: v for k, v in want.items() if k in got} == got and all(want[k] == k for k in set(want) - set(got))
+    assert graph.compact(edges.repartition(50)).rdd.getNumPartitions() == graph.FEW_TASKS
+
+
+def test_jaccard_cuts_make_no_more_rows_than_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(2000)}" for _ in range(120)]
+        for share in (64, 62, 61, 60, 60, 59, 58, 110):
+            rows.append((len(rows), " ".join(base[:share] + [f"x{rng.randrange(10**6)}" for _ in range(120 - share)])))
+    made, real = [], jaccard_join._children
+
+    def watched(placed, *rest):
+        out = graph.cut(real(placed, *rest))
+        pairs = {r["rid"]: r["count"] * (r["count"] - 1) // 2 for r in placed.groupBy("rid").count().collect()}
+        made.extend(r["count"] <= pairs[r["parent"]] for r in out.groupBy("parent").count().collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_children", watched)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {tuple(r) for r in jaccard_components(docs, k=2, percent=40, leaf=2).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute_jaccard(rows, 2, 40) and all(made)
+
+
 def brute_vectors(rows, threshold=0.95):
     good = {i: np.array(v, dtype=np.float64) for i, v in rows if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(v)}
     links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= threshold]
